@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .chunks import SPACED, ChunkEncoder, texts_of
+from .chunks import SPACED, ChunkEncoder, packed
 
 BUCKET = 4
 TRIES = 512
@@ -137,7 +137,7 @@ def load(path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
     if (path, pattern) not in _loaded:
         with open(path, "rb") as f:
             bpe = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
-        _loaded[path, pattern] = bpe, ChunkEncoder(SPACED, lambda chunks: map(bpe.encode, chunks))
+        _loaded[path, pattern] = bpe, ChunkEncoder(SPACED, lambda chunks: (packed(bpe.encode(x)) for x in chunks))
     return _loaded[path, pattern]
 
 
@@ -158,8 +158,8 @@ def encode_documents(
         decimal = [str(i) for i in range(max(bpe.token) + 1)]
         for batch in batches:
             out = {x: [] for x in ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")}
-            for packed in encoder(texts_of(batch, "text")):
-                ids = np.frombuffer(packed, dtype="<u4").tolist()
+            for coded in encoder(batch.column("text")):
+                ids = np.frombuffer(coded, dtype="<u4").tolist()
                 decoded = bpe.decode(ids)
                 if with_ids:
                     out["ids"].append(ids)

@@ -1,27 +1,31 @@
 """Encoding whole texts chunk by chunk, where a chunk is a stretch that no token crosses.
 
 A byte-level pre-token is an optional space and what follows it up to the next white space, or white space alone; a word-level
-one never holds white space; and both end between a letter and a stop. So the ids of a text are the ids of its chunks in a row, and a chunk needs to be encoded once
+one never holds white space. So the ids of a text are the ids of its chunks in a row, and a chunk needs to be encoded once
 as long as a bounded memo holds it.
 """
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-STOPS = ".,!?;:"
-TO_STOP = f"[^{WHITE}{STOPS}]+(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])(?=[{STOPS}])"
-SPACED = re.compile(f" ?{TO_STOP}| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-WORDS = re.compile(f"{TO_STOP}|[^{WHITE}]+")
+SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+WORDS = re.compile(f"[^{WHITE}]+")
+#: Texts in which white space is more than single characters between others; they are split by the patterns above.
+UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$"
 MEMO = 1_000_000
-PART_CHARS = 4_000_000
+PART_BYTES = 8_000_000
 
 
 def packed(ids: list[int]) -> bytes:
@@ -32,46 +36,81 @@ def packed(ids: list[int]) -> bytes:
 
 
 class ChunkEncoder:
-    """Little-endian unsigned 32-bit ids of texts; encode_chunks gives the ids of a list of distinct chunks."""
+    """Little-endian unsigned 32-bit ids of texts; encode_chunks gives those of distinct chunks."""
 
-    def __init__(self, pattern: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[list[int]]], memo: int = MEMO):
+    def __init__(self, pattern: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[bytes]], memo: int = MEMO):
         self.find, self.encode_chunks, self.most, self.memo = pattern.findall, encode_chunks, memo, {}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        part, chars = [], 0
-        for text in texts:
-            part.append(text)
-            chars += len(text)
-            if chars >= PART_CHARS:
-                yield from self._encode(part)
-                part, chars = [], 0
-        yield from self._encode(part)
-
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [self.find(x) for x in texts]
+        self.spaced = pattern is SPACED
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """One after the other, a part of the texts at a time; null is empty."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes) // PART_BYTES).astype(np.int64)
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            yield from self._encode(texts.slice(lo, hi - lo))
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        odd = iter(self._by_pattern(texts.filter(uneven).to_pylist()))
+        even = iter(self._by_space(texts.filter(pc.invert(uneven))))
+        return [next(odd if x else even) for x in uneven.to_pylist()]
+
+    def _learn(self, chunks: Iterable[str]) -> None:
         if len(self.memo) > self.most:
             self.memo = {}
-        new = list(set().union(*split) - self.memo.keys())
-        for chunk, ids in zip(new, self.encode_chunks(new), strict=True):
-            self.memo[chunk] = packed(ids)
-        get = self.memo.__getitem__
-        return (b"".join(map(get, x)) for x in split)
+        memo = self.memo
+        new = [x for x in chunks if x not in memo]
+        gc.disable()  # the many short-lived objects would set it off again and again
+        try:
+            for chunk, ids in zip(new, self.encode_chunks(new), strict=True):
+                memo[chunk] = ids
+        finally:
+            gc.enable()
+
+    def _by_pattern(self, texts: list[str]) -> list[bytes]:
+        split = [self.find(x) for x in texts]
+        self._learn(set().union(*split))
+        return [b"".join(map(self.memo.__getitem__, x)) for x in split]
+
+    def _by_space(self, texts: pa.Array) -> list[bytes]:
+        """The same where each white space stands alone: chunks are what lies between spaces and line feeds."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        key = codes
+        if self.spaced:
+            feed = codes == (words.index("\n") if "\n" in words else -1)
+            bare = feed.copy()
+            bare[1:] |= feed[:-1]
+            bare[ends[:-1]] = True
+            key = np.where(bare, codes, codes + len(words))
+        used = np.flatnonzero(np.bincount(key, minlength=2 * len(words)))
+        chunks = [words[k] if k < len(words) else " " + words[k - len(words)] for k in used.tolist()]
+        self._learn(chunks)
+        own = list(map(self.memo.__getitem__, chunks))
+        lengths = np.zeros(2 * len(words), dtype=np.int64)
+        lengths[used] = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        starts = np.cumsum(lengths) - lengths
+        times = lengths[key]
+        after = np.cumsum(times)
+        ids = np.frombuffer(b"".join(own), "<u4")[np.repeat(starts[key] - (after - times), times) + np.arange(after[-1])]
+        cuts = np.concatenate([[0], after])[ends].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def library_encoder(path: str, pattern: re.Pattern) -> ChunkEncoder:
     """By the tokenizers library; the strings of special tokens are ordinary text."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     return ChunkEncoder(
-        pattern, lambda chunks: (x.ids for x in tokenizer.encode_batch(chunks, add_special_tokens=False))
+        pattern, lambda chunks: (packed(x.ids) for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
     )
-
-
-def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
-    """The texts of a batch; null is empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]

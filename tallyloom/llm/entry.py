@@ -9,6 +9,7 @@ from .bpe import encode_documents
 from .chat import CONTROL, digests, format_conversations
 from .exact_dedup import exact_groups
 from .line_dedup import MIN_SITES, dedup_lines
+from .ngram_join import jaccard_groups
 from .packing import END_ID, pack_documents
 from .pfor import read_documents, write_segments
 from .shards import shard_rows
@@ -47,6 +48,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     extra = spark.sql(
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,

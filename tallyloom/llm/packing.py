@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import WORDS, library_encoder, texts_of
+from .chunks import WORDS, library_encoder
 from .shared import cut
 
 CAPACITY = 2048
@@ -167,7 +167,7 @@ def cut_pieces(
         names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
             docs_of, rows, ids = batch.column("id"), [], []
-            for k, packed in enumerate(_encoders[path](texts_of(batch, "text"))):
+            for k, packed in enumerate(_encoders[path](batch.column("text"))):
                 data = packed + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SPACED, library_encoder, texts_of
+from .chunks import SPACED, library_encoder
 from .shared import cut
 
 MAGIC = b"PFR1"
@@ -33,31 +33,35 @@ _encoders: dict = {}
 
 def _bits(x: np.ndarray) -> np.ndarray:
     """How many bits each value needs."""
-    return np.frexp(x.astype(np.float64))[1]
+    return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
+
+
+def _block(part: np.ndarray, least: np.uint32, kept: np.ndarray, width: int, places: np.ndarray) -> bytes:
+    packed = b""
+    if width:
+        packed = np.packbits(np.unpackbits(kept.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width), bitorder="little").tobytes()
+    return least.tobytes() + bytes([width]) + len(places).to_bytes(2, "little") + places.astype("<u2").tobytes() + part[places].tobytes() + packed
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percent: float = PERCENT) -> bytes:
     if not 1 <= block <= 0xFFFF:
         raise ValueError("a block holds 1 to 65535 ids")
     ids = np.ascontiguousarray(ids, dtype="<u4")
-    bodies, starts = [], [0]
-    for at in range(0, len(ids), block):
-        part = ids[at : at + block]
-        least = part.min()
-        low = part - least
-        need = _bits(low)
-        width = int(np.partition(need, k := min(len(part) - 1, int(len(part) * percent / 100)))[k])
-        places = np.flatnonzero(need > width)
-        kept = low.copy()
-        kept[places] = 0
-        if width:
-            bits = np.unpackbits(kept.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width)
-            packed = np.packbits(bits, bitorder="little").tobytes()
-        else:
-            packed = b""
-        body = least.tobytes() + bytes([width]) + len(places).to_bytes(2, "little") + places.astype("<u2").tobytes() + part[places].tobytes() + packed
-        bodies.append(body)
-        starts.append(starts[-1] + len(body))
+    bodies, starts, whole = [], [0], len(ids) // block * block
+    for rows in (ids[:whole].reshape(-1, block), ids[whole:].reshape(1, -1)):
+        if not rows.size:
+            continue
+        leasts = rows.min(axis=1)
+        lows = rows - leasts[:, None]
+        needs = _bits(lows)
+        k = min(rows.shape[1] - 1, int(rows.shape[1] * percent / 100))
+        widths = np.partition(needs, k, axis=1)[:, k]
+        odd = needs > widths[:, None]
+        kept_rows = np.where(odd, 0, lows).astype("<u4")
+        for part, least, kept, width, places in zip(rows, leasts, kept_rows, widths.tolist(), map(np.flatnonzero, odd), strict=True):
+            body = _block(part, least, kept, width, places)
+            bodies.append(body)
+            starts.append(starts[-1] + len(body))
     head = MAGIC + len(ids).to_bytes(8, "little") + block.to_bytes(4, "little") + len(bodies).to_bytes(4, "little")
     return head + np.asarray(starts, dtype="<u8").tobytes() + b"".join(bodies)
 
@@ -100,7 +104,7 @@ def write_segments(
     """Writes the ids of all documents, end_id after each, in ascending id order; gives the table of segments.
 
     One row per segment, written to the shared folder by Spark's own committer: part and segment (their order is that of
-    the ids), doc_ids array, lengths array<long>, n_tokens, data (the bytes above). A segment is closed once it holds
+    the ids), doc_ids array, lengths array<long>, first (ids of the part's segments before it), n_tokens, data (the bytes above). A segment is closed once it holds
     `segment` ids, so one holds more only by its last document. Null texts are empty, null ids come first; rows that share an
     id go by their text. Range partitions are cut by id and text hash, so that no id need fit one partition.
     """
@@ -112,24 +116,25 @@ def write_segments(
         if path not in _encoders:
             _encoders[path] = library_encoder(path, SPACED)
         end, part, number = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId(), 0
-        held, ids, lengths, n = [], [], [], 0
+        held, ids, lengths, n, written = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             data = b"".join(held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([len(data) // 4], pa.int64()), pa.array([pack(np.frombuffer(data, "<u4"))], pa.binary())],
-                ["part", "segment", "doc_ids", "lengths", "n_tokens", "data"],
+                [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([written], pa.int64()), pa.array([len(data) // 4], pa.int64()), pa.array([pack(np.frombuffer(data, "<u4"))], pa.binary())],
+                ["part", "segment", "doc_ids", "lengths", "first", "n_tokens", "data"],
             )
 
         for batch in batches:
             id_type = batch.column("id").type
-            for doc, packed in zip(batch.column("id").to_pylist(), _encoders[path](texts_of(batch, "text")), strict=True):
+            for doc, packed in zip(batch.column("id").to_pylist(), _encoders[path](batch.column("text")), strict=True):
                 held.append(packed + end)
                 ids.append(doc)
                 lengths.append(len(packed) // 4 + 1)
                 n += lengths[-1]
                 if n >= segment:
                     yield close()
+                    written += n
                     held, ids, lengths, n, number = [], [], [], 0, number + 1
         if ids:
             yield close()
@@ -142,33 +147,28 @@ def write_segments(
         .select("id", "text")
     )
     return cut(
-        dealt.mapInArrow(run, f"part long, segment long, doc_ids array<{kind}>, lengths array<long>, n_tokens long, data binary")
+        dealt.mapInArrow(run, f"part long, segment long, doc_ids array<{kind}>, lengths array<long>, first long, n_tokens long, data binary")
     )
 
 
 def read_documents(segments: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """One row per document of the segments: id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
 
-    The driver sees one sum per part, that is per task that wrote; starts within a part are summed there.
+    The driver sees one sum per part, that is per task that wrote.
     """
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
     sums = sorted(tuple(r) for r in segments.groupBy("part").agg(F.sum("n_tokens")).collect())
-    starts, total = [], 0
+    starts, total = {}, 0
     for part, n in sums:
-        starts.append((part, total))
+        starts[part] = total
         total += n
-    before = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        segments.select("part", "segment", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("in_part"))
-        .join(segments.sparkSession.createDataFrame(starts, "part long, part_start long"), "part")
-        .select("part", "segment", (F.col("in_part") + F.col("part_start")).alias("first"))
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             id_type = batch.column("doc_ids").type.value_type
-            for first, docs, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("first", "doc_ids", "lengths", "data")), strict=True):
+            for part, first, docs, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "doc_ids", "lengths", "data")), strict=True):
                 ids = Segment(data).read()
+                first += starts[part]
                 ends = np.cumsum(lengths)
                 cuts = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
                 columns = [pa.array(docs, id_type), pa.array([first + a for a, _ in cuts], pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in cuts], pa.int64())]
@@ -179,4 +179,4 @@ def read_documents(segments: DataFrame, id_col: str = "doc_id", with_ids: bool =
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     fields = f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return segments.join(offsets, ["part", "segment"]).select("first", "doc_ids", "lengths", "data").mapInArrow(run, fields)
+    return segments.select("part", "first", "doc_ids", "lengths", "data").mapInArrow(run, fields)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 64
+BITMAP_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +67,44 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def may_hold(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that is true for every value of keys and false for most others, by a bitmap of 8 MB at most.
+
+    With very many keys it lets everything pass: it saves a shuffle, but never decides.
+    """
+    keys = keys.select(key).distinct()
+    bits = min(BITMAP_BITS, max(12, (16 * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = (
+        keys.select(place(F.col(key)).alias("p"))
+        .groupBy(F.expr("shiftright(p, 6)").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("mask"))
+    )
+    bitmap = np.zeros(1 << bits - 6, dtype=np.int64)
+    for word, mask in words.collect():  # bounded by the bitmap
+        bitmap[word] = mask
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        p = p.to_numpy()
+        return pd.Series((shared.value[p >> 6] >> (p & 63) & 1).astype(bool))
+
+    return lambda column: held(place(column))
+
+
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose id is in gone; only rows that may be gone are shuffled."""
+    gone = cut(gone.filter(F.col(id_col).isNotNull()).distinct())
+    flag = free_name(docs, "__may_go")
+    flagged = docs.withColumn(flag, may_hold(gone, id_col)(F.col(f"`{id_col}`")))
+    return (
+        flagged.filter(~F.col(flag))
+        .union(flagged.filter(F.col(flag)).join(gone.withColumnRenamed(id_col, flag + "_id"), F.col(f"`{id_col}`") == F.col(flag + "_id"), "left_anti"))
+        .drop(flag)
+    )
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node it reaches.
 
