@@ -9,6 +9,7 @@ from .bpe import encode_documents
 from .chat import CONTROL, digests, format_conversations
 from .exact_dedup import exact_groups
 from .line_dedup import MIN_SITES, dedup_lines
+from .near_vectors import near_groups
 from .ngram_join import jaccard_groups
 from .packing import END_ID, pack_documents
 from .pfor import read_documents, write_segments
@@ -42,6 +43,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256")
@@ -76,6 +81,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_packing": op3_packing,
+    "op4_near_vectors": op4_near_vectors,
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_chat_formatting": op7_chat_formatting,
@@ -84,6 +90,22 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_near_vectors": """
+with recursive v as (
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from v a, v b
+  where a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_cosine_similarity(a.x, b.x) >= 0.95
+), c as (
+  select vec_id as node, vec_id as reach from embeddings
+  union
+  select c.node, l.b from c join l on c.reach = l.a
+), m as (select node, min(reach) as component_id from c group by node)
+select e.vec_id, (select count(*) from l where l.a = e.vec_id) as n_links, m.component_id, e.vec_id = m.component_id as kept
+from embeddings e join m on m.node = e.vec_id
+""",
     "op5_line_dedup": f"""
 with l as (
   select doc_id, source, generate_subscripts(x, 1) as pos, unnest(x) as line
