@@ -13,6 +13,7 @@ from .near_vectors import near_groups
 from .ngram_join import jaccard_groups
 from .packing import END_ID, pack_documents
 from .pfor import read_documents, write_segments
+from .quality import classify
 from .shards import shard_rows
 from .shared import table, text_or_empty
 
@@ -66,6 +67,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
