@@ -26,6 +26,7 @@ WORDS = re.compile(f"[^{WHITE}]+")
 UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$"
 MEMO = 1_000_000
 PART_BYTES = 8_000_000
+_encoders: dict = {}
 
 
 def packed(ids: list[int]) -> bytes:
@@ -104,6 +105,16 @@ class ChunkEncoder:
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def encoder_of(path: str, pattern: re.Pattern) -> ChunkEncoder:
+    """library_encoder(), one for each process, so that its memo outlives a task.
+
+    Tasks must come here for it: a function that is shipped to them brings copies of the globals that it names.
+    """
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = library_encoder(path, pattern)
+    return _encoders[path, pattern]
+
+
 def library_encoder(path: str, pattern: re.Pattern) -> ChunkEncoder:
     """By the tokenizers library; the strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import WORDS, library_encoder
+from .chunks import WORDS, encoder_of
 from .shared import cut
 
 CAPACITY = 2048
@@ -27,7 +27,6 @@ FILL_STEPS = 4000
 FILLINGS = 6
 NODES = 3000
 SALT_ROWS = 100_000
-_encoders: dict = {}
 
 
 def fillings(counts: dict[int, int], room: int, most: int = FILLINGS, steps: int = FILL_STEPS) -> list[tuple[int, ...]]:
@@ -161,13 +160,11 @@ def cut_pieces(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = library_encoder(path, WORDS)
         end = np.array([end_id], dtype="<u4").tobytes()
         names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
             docs_of, rows, ids = batch.column("id"), [], []
-            for k, packed in enumerate(_encoders[path](batch.column("text"))):
+            for k, packed in enumerate(encoder_of(path, WORDS)(batch.column("text"))):
                 data = packed + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]

@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SPACED, library_encoder
+from .chunks import SPACED, encoder_of
 from .shared import cut
 
 MAGIC = b"PFR1"
 BLOCK = 512
 PERCENT = 90
 SEGMENT = 1_000_000
-_encoders: dict = {}
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -113,8 +112,6 @@ def write_segments(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = library_encoder(path, SPACED)
         end, part, number = np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId(), 0
         held, ids, lengths, n, written = [], [], [], 0, 0
 
@@ -127,7 +124,7 @@ def write_segments(
 
         for batch in batches:
             id_type = batch.column("id").type
-            for doc, packed in zip(batch.column("id").to_pylist(), _encoders[path](batch.column("text")), strict=True):
+            for doc, packed in zip(batch.column("id").to_pylist(), encoder_of(path, SPACED)(batch.column("text")), strict=True):
                 held.append(packed + end)
                 ids.append(doc)
                 lengths.append(len(packed) // 4 + 1)
