@@ -41,7 +41,7 @@ class ChunkEncoder:
 
     def __init__(self, pattern: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[bytes]], memo: int = MEMO):
         self.find, self.encode_chunks, self.most, self.memo = pattern.findall, encode_chunks, memo, {}
-        self.spaced = pattern is SPACED
+        self.spaced = pattern == SPACED  # not "is": tasks get copies
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """One after the other, a part of the texts at a time; null is empty."""
