@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .chunks import SPACED, ChunkEncoder, packed
+from .shared import enter, memo, small_batches
 
 BUCKET = 4
 TRIES = 512
 # Odd 64-bit multipliers: any would do.
 SPREAD, MIX, MASK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 _loaded: dict = {}
+memo("bpe", _loaded.clear)
 
 
 class PerfectHash:
@@ -134,6 +136,7 @@ class ByteBPE:
 
 def load(path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
     """One for each process: the vocabulary is read and hashed once, and its memo outlives a task."""
+    enter("bpe")
     if (path, pattern) not in _loaded:
         with open(path, "rb") as f:
             bpe = ByteBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
@@ -150,6 +153,7 @@ def encode_documents(
     tokens. decoded comes from ids alone and is the text in UTF-8. A null text is empty and has no ids; repeated rows each
     give their row; other columns are not read. with_ids=False leaves ids and decoded out. A map without a shuffle.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"`{id_col}` {kind}, " + "ids array<int>, decoded binary, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
 

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import enter, memo
+
 # The characters with Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -27,6 +29,7 @@ UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$"
 MEMO = 1_000_000
 PART_BYTES = 8_000_000
 _encoders: dict = {}
+memo("chunks", _encoders.clear)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -39,8 +42,8 @@ def packed(ids: list[int]) -> bytes:
 class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts; encode_chunks gives those of distinct chunks."""
 
-    def __init__(self, pattern: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[bytes]], memo: int = MEMO):
-        self.find, self.encode_chunks, self.most, self.memo = pattern.findall, encode_chunks, memo, {}
+    def __init__(self, pattern: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[bytes]], most: int = MEMO):
+        self.find, self.encode_chunks, self.most, self.memo = pattern.findall, encode_chunks, most, {}
         self.spaced = pattern == SPACED  # not "is": tasks get copies
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
@@ -110,6 +113,7 @@ def encoder_of(path: str, pattern: re.Pattern) -> ChunkEncoder:
 
     Tasks must come here for it: a function that is shipped to them brings copies of the globals that it names.
     """
+    enter("chunks")
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = library_encoder(path, pattern)
     return _encoders[path, pattern]

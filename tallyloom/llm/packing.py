@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import WORDS, encoder_of
-from .shared import cut
+from .shared import cut, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -157,6 +157,7 @@ def cut_pieces(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = True
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and ids (array<long>) if asked for. A map without a shuffle."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SPACED, encoder_of
-from .shared import cut
+from .shared import cut, small_batches
 
 MAGIC = b"PFR1"
 BLOCK = 512
@@ -107,6 +107,7 @@ def write_segments(
     `segment` ids, so one holds more only by its last document. Null texts are empty, null ids come first; rows that share an
     id go by their text. Range partitions are cut by id and text hash, so that no id need fit one partition.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

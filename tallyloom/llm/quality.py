@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, without
+from .shared import cut, enter, memo, small_batches, without
 
 SAMPLE = 20_000
 BITS = 18
@@ -27,7 +27,7 @@ ALPHA = 0.5
 FEATURES = 400
 RIDGE = 1.0
 TARGETS = ("quality", "toxic")
-MEMO = 500_000
+MEMO = 300_000
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
 _PUNCT = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 _SPACED = bytes(32 if i in _PUNCT else i for i in range(256))
@@ -42,6 +42,7 @@ class _Buckets(dict):
 
 
 _buckets = _Buckets()
+memo("quality", _buckets.clear)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -115,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         total = np.zeros((4, 1 << BITS), dtype=np.int64)
         for batch in batches:
             for text, *label in zip(*(batch.column(c).to_pylist() for c in ("text", *TARGETS)), strict=True):
@@ -140,19 +142,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         told.append(np.sort(best[z[best] >= Z_LEAST]))
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             own = [features(x) for x in batch.column("text").to_pylist()]
-            held = [pa.array([np.flatnonzero(np.isin(t, x, assume_unique=True)) for x in own], pa.list_(pa.int64())) for t in told]
+            held = [pa.array([np.packbits(np.isin(t, x, assume_unique=True)).tobytes() for x in own], pa.binary()) for t in told]
             yield pa.RecordBatch.from_arrays([*(batch.column(t) for t in TARGETS), *held], [*TARGETS, "f0", "f1"])
 
-    matrix = rows.mapInArrow(hold, "quality int, toxic int, f0 array<long>, f1 array<long>").collect()  # `sample` rows at most
+    matrix = rows.mapInArrow(hold, "quality int, toxic int, f0 binary, f1 binary").collect()  # `sample` rows at most
     weights, offset, base = np.zeros((2, 1 << BITS), dtype=np.float32), [], []
     for k, t in enumerate(TARGETS):
         base.append(math.log((n[2 * k + 1] + ALPHA) / (n[2 * k] + ALPHA)))
         known = [r for r in matrix if r[t] is not None]
-        x, y = np.zeros((len(known), len(told[k])), dtype=np.float32), np.array([r[t] > 0 for r in known], dtype=float)
-        for i, r in enumerate(known):
-            x[i, r[2 + k]] = 1
+        bits = np.frombuffer(b"".join(bytes(r[2 + k]) for r in known), np.uint8).reshape(len(known), -1)
+        x, y = np.unpackbits(bits, axis=1, count=len(told[k])).astype(np.float32), np.array([r[t] > 0 for r in known], dtype=float)
         w = logistic(x, y) if 0 < y.sum() < len(y) else np.append(np.zeros(len(told[k])), base[k])
         weights[k, told[k]] = w[:-1]
         offset.append(float(w[-1]))
@@ -210,10 +212,12 @@ def classify(
     probabilities are 0.5 and, toxic not being below 0.5, nothing is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, sample))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             found = np.array([model.value.evidence(x) for x in batch.column("text").to_pylist()]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,37 @@ MAX_ROUNDS = 64
 BITMAP_BITS = 26
 
 
+BATCH_ROWS = 2000
+_memos: list[tuple[str, Callable[[], None]]] = []
+_state = {"owner": ""}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts come to Python BATCH_ROWS at a time, or fewer if the session says so."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def memo(owner: str, clear: Callable[[], None]) -> None:
+    """Tells enter() how to empty what an operator keeps in a Python worker between tasks."""
+    _memos.append((owner, clear))
+
+
+def enter(owner: str) -> None:
+    """Called by a task as it starts: what other operators have left in this worker goes, and its memory with it."""
+    if _state["owner"] == owner:
+        return
+    _state["owner"] = owner
+    for other, clear in _memos:
+        if other != owner:
+            clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
