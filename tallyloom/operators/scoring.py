@@ -92,7 +92,7 @@ CAPS = [
 def clamp(value: Column) -> Column:
     """A prediction as a whole number from 0 to 5: truncated, 0 where missing or not a number."""
     number = value.try_cast("double")
-    held = F.when(~F.isnan(number), F.greatest(F.lit(-9.0), F.least(F.lit(9.0), number))).cast("int")
+    held = F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(-9.0), F.least(F.lit(9.0), number))).cast("int")
     return F.greatest(F.lit(0), F.least(F.lit(5), F.coalesce(held, F.lit(0))))  # least() would pass over a null
 
 
