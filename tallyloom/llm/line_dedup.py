@@ -69,7 +69,7 @@ def dedup_lines(
         docs.select(
             F.col(f"`{id_col}`").alias("id"),
             F.col(f"`{site_col}`").cast("string").alias("site"),
-            F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text), "\n", -1), F.trim))).alias("line"),
+            F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text), "\n", -1), lambda x: F.trim(x)))).alias("line"),
         )
         .filter("line <> ''")
         .select("id", "site", _key(F.col("line")).alias("k"))
