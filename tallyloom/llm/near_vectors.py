@@ -43,10 +43,10 @@ def nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return out
 
 
-def search_block(x: np.ndarray, named: np.ndarray, pivot: int, first: np.ndarray, part: np.ndarray, shared: int, threshold: float):
+def search_block(x: np.ndarray, named: np.ndarray, pivot: int, first: np.ndarray, part: np.ndarray, within: bool, shared: int, threshold: float):
     """Linked pairs (i, j) of a list's members whose least common pivot is this list's.
 
-    i is in part, a part of the first block; j follows it or is in the second block.
+    i is in part, a part of the first block; j is in the second block or, if within (both are one block), follows i.
     """
     left = np.flatnonzero(part)
     count = np.zeros((len(left), len(x)), dtype=np.int8)
@@ -59,7 +59,7 @@ def search_block(x: np.ndarray, named: np.ndarray, pivot: int, first: np.ndarray
             count += same
             lesser |= same & below
     candidate = (count >= shared) & ~lesser
-    candidate &= ~first[None, :] | (np.arange(len(x))[None, :] > left[:, None])
+    candidate &= np.arange(len(x))[None, :] > left[:, None] if within else ~first[None, :]
     i, j = np.nonzero(candidate)
     if len(i):
         good = (x[left] @ x.T)[i, j] >= threshold
@@ -135,7 +135,7 @@ def near_groups(
 
     def search(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = pa.Table.from_batches(batches)
-        pivot, d, i, _ = (x.as_py() for x in key)
+        pivot, d, i, j = (x.as_py() for x in key)
         node, weight = held.column("node").to_numpy(), held.column("weight").to_numpy()
         x = held.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d).copy()
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -146,7 +146,7 @@ def near_groups(
         for at in np.array_split(np.flatnonzero(first), max(1, -(-int(first.sum()) // 256))):
             part = np.zeros(len(node), dtype=bool)
             part[at] = True
-            a, b = search_block(x, named, pivot, first, part, min(shared, named.shape[1]), threshold)
+            a, b = search_block(x, named, pivot, first, part, i == j, min(shared, named.shape[1]), threshold)
             np.add.at(total, a, weight[b])
             np.add.at(total, b, weight[a])
             for one in np.unique(a):
