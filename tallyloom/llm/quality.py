@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for k, t in enumerate(TARGETS):
         base.append(math.log((n[2 * k + 1] + ALPHA) / (n[2 * k] + ALPHA)))
         known = [r for r in matrix if r[t] is not None]
-        bits = np.frombuffer(b"".join(bytes(r[2 + k]) for r in known), np.uint8).reshape(len(known), -1)
+        bits = np.frombuffer(b"".join(bytes(r[2 + k]) for r in known), np.uint8).reshape(len(known), -(-len(told[k]) // 8))
         x, y = np.unpackbits(bits, axis=1, count=len(told[k])).astype(np.float32), np.array([r[t] > 0 for r in known], dtype=float)
         w = logistic(x, y) if 0 < y.sum() < len(y) else np.append(np.zeros(len(told[k])), base[k])
         weights[k, told[k]] = w[:-1]
