@@ -24,14 +24,27 @@ from .shared import enter, memo
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACED = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORDS = re.compile(f"[^{WHITE}]+")
-#: Texts in which white space is more than single characters between others; they are split by the patterns above.
-UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$"
-MEMO = 1_000_000
+#: Texts in which white space is more than single characters between others, or with the mark below; they are split by the patterns above.
+UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|\x01"
+#: A stop after a letter starts a token as well; in the column-wise split, MARK stands before such a stop.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+STOPPED, MARK = f"([{LETTERS}])([.,!?;:])", "\x01"
+MEMO = 1_200_000
 PART_BYTES = 8_000_000
 _encoders: dict = {}
 memo("chunks", _encoders.clear)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as they are, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _byte_letters()
+
+
 def packed(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -82,7 +95,8 @@ class ChunkEncoder:
         """The same where each white space stands alone: chunks are what lies between spaces and line feeds."""
         if not len(texts):
             return []
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        stopped = pc.replace_substring_regex(texts, STOPPED, f"\\1 {MARK}\\2")
+        lists = pc.split_pattern(pc.replace_substring(stopped, "\n", " \n "), " ")
         coded = lists.flatten().dictionary_encode()
         codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         ends = lists.offsets.to_numpy().astype(np.int64)
@@ -93,9 +107,10 @@ class ChunkEncoder:
             bare = feed.copy()
             bare[1:] |= feed[:-1]
             bare[ends[:-1]] = True
+            bare |= np.array([x[:1] == MARK for x in words], dtype=bool)[codes]
             key = np.where(bare, codes, codes + len(words))
         used = np.flatnonzero(np.bincount(key, minlength=2 * len(words)))
-        chunks = [words[k] if k < len(words) else " " + words[k - len(words)] for k in used.tolist()]
+        chunks = [words[k].removeprefix(MARK) if k < len(words) else " " + words[k - len(words)] for k in used.tolist()]
         self._learn(chunks)
         own = list(map(self.memo.__getitem__, chunks))
         lengths = np.zeros(2 * len(words), dtype=np.int64)
@@ -126,6 +141,19 @@ def library_encoder(path: str, pattern: re.Pattern) -> ChunkEncoder:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return ChunkEncoder(
-        pattern, lambda chunks: (packed(x.ids) for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False))
-    )
+    spaced, merge = pattern == SPACED, tokenizer.model.tokenize
+    word = re.compile(f" ?[{LETTERS}]+" if spaced else f"[{LETTERS}]+").fullmatch
+
+    def encode(chunks: list[str]) -> Iterator[bytes]:
+        # A word of Latin letters is one pre-token, and normalising only lowers it: it can go to the model directly.
+        plain = [word(x) is not None for x in chunks]
+        others = tokenizer.encode_batch_fast([x for x, p in zip(chunks, plain, strict=True) if not p], add_special_tokens=False)
+        others = (x.ids for x in others)
+        for x, p in zip(chunks, plain, strict=True):
+            if p:
+                x = (x if spaced else x.lower()).encode().decode("latin-1").translate(BYTES)
+                yield packed([t.id for t in merge(x)])
+            else:
+                yield packed(next(others))
+
+    return ChunkEncoder(pattern, encode)
