@@ -250,8 +250,8 @@ def json_depth(text: Column, deepest: int = 32) -> Column:
     """
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
     brackets = F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]")
-    depth = F.lit(0)
-    for _ in range(deepest):
-        depth = depth + F.when(brackets != "", 1).otherwise(0)
-        brackets = F.regexp_replace(brackets, r"\[\]", "")
-    return depth
+    start = F.struct(brackets.alias("b"), F.lit(0).alias("d"))
+    step = lambda x, _: F.struct(
+        F.regexp_replace(x["b"], r"\[\]", "").alias("b"), (x["d"] + F.when(x["b"] != "", 1).otherwise(0)).alias("d")
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), start, step, lambda x: x["d"])
