@@ -9,18 +9,22 @@ FENCED = r"(?is)```(?:json)?\s*(.*?)\s*```"
 BRACES = r"(?s)\{.*\}"
 
 
-def _object(text: Column) -> Column:
-    """text as a variant where it is a JSON object, else null."""
-    value = F.try_parse_json(F.when(text.startswith("{"), text))
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+def whole_json(text: Column) -> Column:
+    """text as a variant where all of it is one JSON value, else null.
+
+    The parser stops after the first value and doesn't mind what follows; inside an array and inside an object it does.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_parse_json(F.concat(F.lit('{"w":'), text, F.lit("}"))).isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
 
 
 def first_object(response: Column) -> Column:
     """The first JSON object (variant) of a response: in fenced blocks first, then from the first to the last brace."""
     fenced = F.regexp_extract_all(response, F.lit(FENCED), F.lit(1))
     whole = F.regexp_extract_all(response, F.lit(BRACES), F.lit(0))
-    found = F.filter(F.transform(F.concat(fenced, whole), lambda x: F.trim(x)), lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
-    return _object(F.get(found, F.lit(0)))
+    found = F.filter(F.transform(F.concat(fenced, whole), lambda x: F.trim(x)), lambda x: x.startswith("{") & whole_json(x).isNotNull())
+    return whole_json(F.get(found, F.lit(0)))
 
 
 def grades(responses: DataFrame, *keys: str, response_col: str = "response") -> DataFrame:
@@ -47,7 +51,7 @@ def sanitize(response: Column) -> Column:
     end = F.length(response) - F.locate("}", F.reverse(response)) + 1
     has = F.contains(response, F.lit("{")) & F.contains(response, F.lit("}")) & (end > start)
     inner = F.when(has, F.substring(response, start, end - start + 1))
-    whole, part = F.try_parse_json(response), F.try_parse_json(inner)
+    whole, part = whole_json(response), whole_json(inner)
     return F.struct(
         F.to_json(F.coalesce(whole, part)).alias("json"),
         F.when(response.isNull(), "no_text").when(whole.isNotNull() | part.isNotNull(), None).when(has, "parse_failed").otherwise("no_json_found").alias("error"),
