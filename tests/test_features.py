@@ -58,7 +58,8 @@ def test_six_block_project(spark):
     a = rows(fe.atomic_answers(fe.project_context(p)))[0]
     assert a.variables.variables_used and a.ui_feedback.score_lives_timer_shown and not a.sound.sounds_used and not a.animation.costume_changes_used
     assert not a.event_handling.handlers_attached_to_correct_sprites and a.nesting.nesting_correct
-    assert all(1 <= rows(sc.scores(fe.atomic_answers(fe.project_context(p))))[0][d] <= 5 for d in DIMENSIONS if d not in ("debugging", "integration"))
+    scored = rows(sc.scores(fe.atomic_answers(fe.project_context(p))))[0]
+    assert all(1 <= scored[d] <= 5 for d in DIMENSIONS if d not in ("debugging", "integration"))
 
 
 def test_empty_odd_and_broken_projects(spark):
