@@ -25,7 +25,7 @@ BITS = 18
 Z_LEAST = 4.0
 ALPHA = 0.5
 FEATURES = 400
-RIDGE = 1.0
+RIDGE = 0.3
 TARGETS = ("quality", "toxic")
 MEMO = 300_000
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
@@ -202,14 +202,14 @@ def classify(
     host_col: str = "source",
     path_col: str = "lang",
     least_quality: float = 0.5,
-    most_toxic: float = 0.5,
+    most_toxic: float = 0.25,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """One row per row of docs: id, p_quality, p_toxic (posterior probabilities), kept.
 
     kept: p_quality >= least_quality and p_toxic < most_toxic. Only (id, quality, toxic) of labels is read. A null text counts as
     empty, a null host or path as a site of its own; repeated rows each count and get the same result. Without labels nothing is known: both
-    probabilities are 0.5 and, toxic not being below 0.5, nothing is kept. An empty table gives an empty result.
+    probabilities are 0.5 and, with that chance of being toxic, nothing is kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
