@@ -1,9 +1,11 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Every vector is described by its PREFIX nearest pivots in order of nearness. Each pivot has an inverted list of the vectors that name
-it; two vectors are candidates when they share at least SHARED pivots, which is counted list by list, and
-a pair is looked at only in the list of the least pivot that it shares. Candidates are verified by their cosine in
-double precision. Equal vectors are one entry with a weight. A long list is cut into blocks, and each two blocks
+Every vector is described by its nearest pivots in order of nearness, PREFIX at most. Pivots are a sample thinned to twice the
+threshold's angle (t) at least, so that a dense group gets few of them. A vector names only pivots within its nearest one's angle
+plus 2 t: the nearest pivot of anything linked with it lies there. Where that takes fewer than PREFIX, the vector is settled, and
+whatever is linked with it shares a pivot with it, however dense its surroundings. Each pivot has an inverted list of the
+vectors that name it; two vectors are candidates when they share a pivot and one is settled, or else SHARED pivots. A
+pair is looked at only in the list of the least pivot that it shares, and verified by its cosine in double precision. Equal vectors are one entry with a weight. A long list is cut into blocks, and each two blocks
 are a task's work, so that no list needs to fit one task; a task gives counts and a spanning forest, not pairs.
 """
 
@@ -24,6 +26,7 @@ SHARED = 2
 BLOCK = 1024
 MOST_PIVOTS = 1 << 14
 THRESHOLD = 0.95
+NONE = np.iinfo(np.int32).max
 
 
 def pivots_for(n: int) -> int:
@@ -31,15 +34,36 @@ def pivots_for(n: int) -> int:
     return min(MOST_PIVOTS, 1 << max(5, round(math.log2(4 * math.sqrt(max(n, 1))))))
 
 
-def nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """For each unit vector, its nearest pivots, nearest first; ties go by number."""
-    out = np.empty((len(vectors), min(prefix, len(pivots))), dtype=np.int32)
+def angle(cosine: np.ndarray | float) -> np.ndarray:
+    return np.arccos(np.clip(cosine, -1, 1))
+
+
+def spaced(pivots: np.ndarray, threshold: float) -> np.ndarray:
+    """The unit vectors of pivots, in order, that lie at least twice the threshold's angle from those taken before."""
+    near = np.cos(min(2 * angle(threshold), np.pi))
+    free, taken = np.ones(len(pivots), dtype=bool), []
+    for i, pivot in enumerate(pivots):
+        if free[i]:
+            taken.append(i)
+            free &= pivots @ pivot <= near
+    return pivots[taken]
+
+
+def nearest(vectors: np.ndarray, pivots: np.ndarray, prefix: int, threshold: float = THRESHOLD) -> np.ndarray:
+    """For each unit vector, its nearest pivots, nearest first; ties go by number.
+
+    Those beyond the nearest one's angle plus twice the threshold's are NONE, as is what fills up to prefix.
+    """
+    out = np.full((len(vectors), prefix), NONE, dtype=np.int32)
+    width = min(prefix, len(pivots))
     for at in range(0, len(vectors), 1024):
         far = -(vectors[at : at + 1024] @ pivots.T)
-        some = np.argpartition(far, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+        some = np.argpartition(far, width - 1, axis=1)[:, :width]
         some.sort(axis=1)
         order = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
-        out[at : at + 1024] = np.take_along_axis(some, order, axis=1)
+        some = np.take_along_axis(some, order, axis=1)
+        away = angle(-np.take_along_axis(far, some, axis=1))
+        out[at : at + 1024, :width] = np.where(away <= away[:, :1] + 2 * angle(threshold) + 1e-6, some, NONE)
     return out
 
 
@@ -49,22 +73,19 @@ def search_block(x: np.ndarray, named: np.ndarray, pivot: int, first: np.ndarray
     i is in part, a part of the first block; j is in the second block or, if within (both are one block), follows i.
     """
     left = np.flatnonzero(part)
-    count = np.zeros((len(left), len(x)), dtype=np.int8)
-    lesser = np.zeros(count.shape, dtype=bool)
-    for a in range(named.shape[1]):
-        own = named[left, a]
-        below = (own < pivot)[:, None]
-        for b in range(named.shape[1]):
-            same = own[:, None] == named[:, b][None, :]
-            count += same
-            lesser |= same & below
-    candidate = (count >= shared) & ~lesser
-    candidate &= np.arange(len(x))[None, :] > left[:, None] if within else ~first[None, :]
-    i, j = np.nonzero(candidate)
-    if len(i):
-        good = (x[left] @ x.T)[i, j] >= threshold
-        i, j = i[good], j[good]
-    return left[i], j
+    linked = x[left] @ x.T >= threshold
+    linked &= np.arange(len(x))[None, :] > left[:, None] if within else ~first[None, :]
+    i, j = np.nonzero(linked)
+    i = left[i]
+    settled = named[:, -1] == NONE
+    good = np.zeros(len(i), dtype=bool)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        own, other = named[a], named[b]
+        same = ((own[:, :, None] == other[:, None, :]) & (own != NONE)[:, :, None]).any(axis=2)
+        least = np.where(same, own, NONE).min(axis=1)
+        good[at : at + (1 << 16)] = (least == pivot) & (settled[a] | settled[b] | (same.sum(axis=1) >= shared))
+    return i[good], j[good]
 
 
 def near_groups(
@@ -79,8 +100,8 @@ def near_groups(
     """One row per row of vectors: id, n_links (long), component_id, kept.
 
     Linked are vectors whose cosine is at least threshold. Nulls, zero vectors and those with null or non-finite components link
-    with nothing, nor do vectors of different lengths with each other. Pivots are a bounded sample: the distinct vectors of the
-    least hashes, pivots_for() of them and most_pivots at most; every vector is indexed. Copies link with each other. Repeated ids
+    with nothing, nor do vectors of different lengths with each other. Pivots are a bounded sample, thinned by spaced(): the distinct vectors
+    of the least hashes, pivots_for() of them and most_pivots at most; every vector is indexed. Copies link with each other. Repeated ids
     are rows of their own; a row without an id counts and connects, and a group of nothing else has a null
     component_id. kept is vec_id = component_id. Other columns are not read. An empty table gives an empty result.
     """
@@ -103,7 +124,7 @@ def near_groups(
     sample = copies.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(k).collect()
     dims = {len(r.v) for r in sample}
     unit = {d: np.array([r.v for r in sample if len(r.v) == d]) for d in dims}
-    pivots = spark.sparkContext.broadcast({d: x / np.linalg.norm(x, axis=1, keepdims=True) for d, x in unit.items()})
+    pivots = spark.sparkContext.broadcast({d: spaced(x / np.linalg.norm(x, axis=1, keepdims=True), threshold) for d, x in unit.items()})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +135,8 @@ def near_groups(
                 x = np.array([lists[i] for i in own])
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 # Vectors of a length that the sample lacks are compared under one list of their own.
-                found = nearest(x, pivots.value[d], prefix) if d in pivots.value else np.full((len(own), 1), -d, np.int32)
+                alone = [-d, *[NONE] * (prefix - 1)]
+                found = nearest(x, pivots.value[d], prefix, threshold) if d in pivots.value else np.full((len(own), prefix), alone, np.int32)
                 for i, row in zip(own, found.tolist(), strict=True):
                     named[i] = row
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +146,7 @@ def near_groups(
     described = cut(
         copies.select("node", "weight", "v").mapInArrow(describe, "node long, weight long, v array<double>, named array<int>")
     )
-    listed = described.select("node", "weight", "v", "named", F.explode("named").alias("pivot"), F.size("v").alias("d"))
+    listed = described.select("node", "weight", "v", "named", F.explode("named").alias("pivot"), F.size("v").alias("d")).filter(f"pivot <> {NONE}")
     blocks = listed.groupBy("pivot", "d").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
     placed = (
         listed.join(blocks, ["pivot", "d"])
@@ -146,7 +168,7 @@ def near_groups(
         for at in np.array_split(np.flatnonzero(first), max(1, -(-int(first.sum()) // 256))):
             part = np.zeros(len(node), dtype=bool)
             part[at] = True
-            a, b = search_block(x, named, pivot, first, part, i == j, min(shared, named.shape[1]), threshold)
+            a, b = search_block(x, named, pivot, first, part, i == j, min(shared, prefix), threshold)
             np.add.at(total, a, weight[b])
             np.add.at(total, b, weight[a])
             for one in np.unique(a):

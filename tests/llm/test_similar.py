@@ -159,6 +159,19 @@ def test_vectors_against_brute_force(spark, block, monkeypatch):
     assert sum(got[i].component_id != want[i] for i in range(len(rows))) <= 1
 
 
+def test_vectors_of_a_dense_group_keep_their_links(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = unit(np.sqrt(0.97) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.03) * unit(rng.normal(size=(1500, 64))))
+    x = np.vstack([group, unit(rng.normal(size=(1500, 64)))])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in near_groups(df.repartition(4)).collect()}
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    assert [got[i].n_links for i in range(len(x))] == linked.sum(axis=1).tolist()
+    assert {got[i].component_id for i in range(1500)} == {0}
+
+
 def test_vectors_without_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.01]), (None, None)], "vec_id long, embedding array<float>")
     rows = near_groups(df).collect()
