@@ -123,18 +123,18 @@ class ChunkEncoder:
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def encoder_of(path: str, pattern: re.Pattern) -> ChunkEncoder:
+def encoder_of(path: str, pattern: re.Pattern, most: int = MEMO) -> ChunkEncoder:
     """library_encoder(), one for each process, so that its memo outlives a task.
 
     Tasks must come here for it: a function that is shipped to them brings copies of the globals that it names.
     """
     enter("chunks")
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = library_encoder(path, pattern)
+        _encoders[path, pattern] = library_encoder(path, pattern, most)
     return _encoders[path, pattern]
 
 
-def library_encoder(path: str, pattern: re.Pattern) -> ChunkEncoder:
+def library_encoder(path: str, pattern: re.Pattern, most: int = MEMO) -> ChunkEncoder:
     """By the tokenizers library; the strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -156,4 +156,4 @@ def library_encoder(path: str, pattern: re.Pattern) -> ChunkEncoder:
             else:
                 yield packed(next(others))
 
-    return ChunkEncoder(pattern, encode)
+    return ChunkEncoder(pattern, encode, most)

@@ -11,7 +11,7 @@ from .exact_dedup import exact_groups
 from .line_dedup import MIN_SITES, dedup_lines
 from .near_vectors import near_groups
 from .ngram_join import jaccard_groups
-from .packing import END_ID, pack_documents
+from .packing import END_ID, digest_ids, pack_documents
 from .pfor import read_documents, write_segments
 from .quality import classify
 from .shards import shard_rows
@@ -39,9 +39,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID, with_ids=False
-    )
+    return digest_ids(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID))
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

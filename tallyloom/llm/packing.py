@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import WORDS, encoder_of
-from .shared import cut, small_batches
+from .shared import cut, enter, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -27,6 +27,9 @@ FILL_STEPS = 4000
 FILLINGS = 6
 NODES = 3000
 SALT_ROWS = 100_000
+SALT_ROWS_WITH_IDS = 10_000
+#: Chunks that a worker remembers: beside the ids of its texts, more than this costs memory and saves no measurable time.
+WORD_MEMO = 300_000
 
 
 def fillings(counts: dict[int, int], room: int, most: int = FILLINGS, steps: int = FILL_STEPS) -> list[tuple[int, ...]]:
@@ -156,7 +159,10 @@ def _large(counts: dict[int, int], capacity: int) -> int:
 def cut_pieces(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = True
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, and ids (array<long>) if asked for. A map without a shuffle."""
+    """One row per piece: id, piece, start, length, ids_crc32, and ids if asked for. A map without a shuffle.
+
+    ids are little-endian unsigned 32-bit numbers in a binary, which the JVM stores and sorts as it is.
+    """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -165,26 +171,52 @@ def cut_pieces(
         names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
             docs_of, rows, ids = batch.column("id"), [], []
-            for k, packed in enumerate(encoder_of(path, WORDS)(batch.column("text"))):
+            for k, packed in enumerate(encoder_of(path, WORDS, WORD_MEMO)(batch.column("text"))):
                 data = packed + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((k, piece, at // 4, len(part) // 4, zlib.crc32(part)))
                     if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int64))
+                        ids.append(part)
             k, *rest = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             columns = [docs_of.take(pa.array(k, pa.int64())), pa.array(rest[0], pa.int32()), *(pa.array(x, pa.int64()) for x in rest[1:])]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(ids, pa.list_(pa.int64()))] if with_ids else []), names)
+            if with_ids:
+                columns.append(pa.array(ids, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    fields = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.selectExpr(f"`{id_col}` as id", f"`{text_col}` as text").mapInArrow(run, fields)
 
 
+def unpacked(ids: pa.Array) -> pa.Array:
+    """Lists of the numbers in a binary column without nulls."""
+    data = ids.to_pylist()
+    ends = np.cumsum([0, *map(len, data)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(data), "<u4").astype(np.int32)))
+
+
+def digest_ids(packed: DataFrame) -> DataFrame:
+    """packed with the digest of its ids, taken from them anew, in place of ids and ids_crc32."""
+    names = [c for c in packed.columns if c != "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            data, ends = memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B"), ids.offsets.to_numpy().tolist()
+            found = pa.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([found if c == "ids_crc32" else batch.column(c) for c in names], names)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name != "ids")
+    return packed.mapInArrow(run, fields)
+
+
 def pack_documents(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = True
 ) -> DataFrame:
     """The pieces of cut_pieces() with sequence_id and offset: where each stands, gapless from 0 in every sequence.
 
+    In order of offset, the ids (array<int>) of a sequence's pieces are the sequence.
+
     A document is its ids by the tokenizer in path, then end_id, so that an empty or null text is one piece of one id. Only documents
     longer than capacity are cut. Rows that share an id are packed each by itself. Other columns are not read. An empty
     table gives an empty result. The driver sees a histogram of at most `capacity` lengths; the runs that it broadcasts are
@@ -206,7 +238,7 @@ def pack_documents(
         first += times
     shared = spark.sparkContext.broadcast({x: [np.array(y) for y in own] for x, own in runs.items()})
 
-    salts = max(16, -(-max(histogram.values(), default=1) // SALT_ROWS))
+    salts = max(16, -(-max(histogram.values(), default=1) // (SALT_ROWS_WITH_IDS if with_ids else SALT_ROWS)))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     order = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -221,6 +253,7 @@ def pack_documents(
     names = [c for c in pieces.columns if c != "row"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing")
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
@@ -231,7 +264,8 @@ def pack_documents(
                 within = rank[own] - ends[run]
                 sequence[own] = firsts[run] + within // per[run]
                 offset[own] = offsets[run] + within % per[run] * x
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            columns = [unpacked(batch.column(c)) if c == "ids" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != "row")
+    fields = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in pieces.schema if f.name != "row")
     return ranked.select(*names, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyloom.llm import bpe, chunks, packing, pfor
@@ -132,6 +133,32 @@ def test_packing(spark, table):
     assert packing.pack_documents(table.limit(0), path).collect() == []
 
 
+def test_packed_sequences_can_be_rebuilt(spark, tmp_path):
+    import corpus_pipeline
+    from tallyloom.llm import entry
+
+    texts = [f"document {i} " + "some words of it " * (i % 7 * 150) for i in range(30)] + [None]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    rows = corpus_pipeline.packing(spark, df, None).collect()
+    own, sequences = defaultdict(list), defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        own[r.doc_id] += r.ids
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert len(sequences[r.sequence_id]) == r.offset
+        sequences[r.sequence_id] += r.ids
+    for i, t in enumerate(texts):
+        assert own[i] == [*library.encode(t or "", add_special_tokens=False).ids, 0]
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    query = entry.op3_packing(spark, str(tmp_path))
+    assert query.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    want = {(r.doc_id, r.piece, zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())) for r in rows}
+    assert {(r.doc_id, r.piece, r.ids_crc32) for r in query.collect()} == want
+    spoilt = corpus_pipeline.packing(spark, df.limit(1), None).withColumn("ids", F.array(F.lit(7)))
+    assert packing.digest_ids(spoilt).first().ids_crc32 == zlib.crc32(np.array([7], dtype="<u4").tobytes())
+
+
 def fewest(lengths, capacity):
     """Brute force: the least number of bins."""
     best = [len(lengths)]
