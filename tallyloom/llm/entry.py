@@ -20,11 +20,14 @@ from .shared import table, text_or_empty
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
-    )
-    return shard_rows(rows, shards=16).select(
-        "*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return shard_rows(table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        "shard",
+        "slot",
+        F.lit("rows").alias("law"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 

@@ -41,7 +41,7 @@ def shard_rows(
     spark, columns = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("")
     keyed = lambda k: F.xxhash64(F.lit(seed), F.lit(k), text)
-    rows = cut(df.select("*", keyed(0).alias(draw)))
+    rows = cut(df.select("*", keyed(0).alias(draw)), "zstd")  # whole rows, written once and read thrice
     total = rows.count()
     blocks = max(least_blocks, -(-total // block_rows))
     buckets = max(-(-least_blocks * 2 // shards), -(-total // (shards * block_rows)), 1)

@@ -51,6 +51,18 @@ def test_shards_take_repeated_rows_nulls_and_nothing(spark):
         shard_rows(df, shards=0)
 
 
+def test_sharding_query_deals_whole_documents(spark, tmp_path, monkeypatch):
+    from tallyloom.llm import entry
+
+    seen = []
+    monkeypatch.setattr(entry, "shard_rows", lambda df, **more: seen.append(df.columns) or shard_rows(df, **more))
+    df = docs(spark, ["é", None, "abc"])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = entry.op1_sharding(spark, str(tmp_path))
+    assert seen == [df.columns] and rows.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "law", "grown_shard"]
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows.collect()) == [(0, 3, zlib.crc32("é".encode())), (1, 1, 0), (2, 4, zlib.crc32(b"abc"))]
+
+
 def test_exact_groups_against_brute_force(spark):
     texts = ["a b", "ab", "a\tb\n", None, "", " ", "A b", "é e", "ée", "a\x0bb\x0c\rc", "abc", "ab", "\xa0ab"] * 3 + ["x" * 50_000, "x " * 50_000]
     got = {r.doc_id: r for r in exact_groups(docs(spark, texts).repartition(7), fan_in=2).collect()}
