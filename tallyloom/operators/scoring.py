@@ -12,9 +12,9 @@ def true_count(dimension: str) -> Column:
     return sum((F.col(f"{dimension}.{q}").cast("int") for q in QUESTIONS[dimension]), F.lit(0))
 
 
-def score(dimension: str) -> Column:
-    """The ladder's score of a dimension's struct of answers; a null struct scores 1."""
-    n, total = true_count(dimension), len(QUESTIONS[dimension])
+def score(dimension: str, n: Column | None = None) -> Column:
+    """The ladder's score of a dimension's struct of answers; a null struct scores 1. n: its true_count(), where it has been taken."""
+    n, total = true_count(dimension) if n is None else n, len(QUESTIONS[dimension])
     if dimension in LADDERS:
         out = F.lit(None).cast("int")
         for condition, value in reversed(LADDERS[dimension]):
@@ -38,13 +38,13 @@ def _rule(dimension: str, condition: str, n: Column) -> Column:
 
 def scores(answers: DataFrame) -> DataFrame:
     """(project_id, one score column for each dimension)."""
-    return answers.select("project_id", *(score(d).alias(d) for d in DIMENSIONS))
+    counted = answers.select("project_id", *DIMENSIONS, *(true_count(d).alias(f"n_{d}") for d in DIMENSIONS))  # once, not in every branch
+    return counted.select("project_id", *(score(d, F.col(f"n_{d}")).alias(d) for d in DIMENSIONS))
 
 
 def scores_long(answers: DataFrame) -> DataFrame:
-    """(project_id, dimension, score)."""
-    rows = [F.struct(F.lit(d).alias("dimension"), score(d).alias("score")) for d in DIMENSIONS]
-    return answers.select("project_id", F.inline(F.array(*rows)))
+    """(project_id, dimension, score). An unpivot: inline() over rules on structs loses its rows to column pruning."""
+    return scores(answers).unpivot("project_id", DIMENSIONS, "dimension", "score")
 
 
 def complexity_score() -> Column:
