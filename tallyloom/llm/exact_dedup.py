@@ -1,23 +1,22 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every input partition starts as a run of (digest, best row, size). In each binomial round FAN_IN neighbouring
-runs exchange their digests and merge: Spark deals the rows out by (merged run, digest), sorts them, and a sort
-aggregate walks the sorted rows, keeps the best row of every digest and adds up the sizes. A group of
-copies, however large, therefore leaves one row per run after the first level, and no task ever sees more than
-FAN_IN rows of it at once. The digest is SHA-256; every level also holds the byte length and
-a second, independent 64-bit hash against it, so rows merge only where all three agree.
+Every input partition becomes a run: its rows by digest, one for each (digest, best row, size). The runs are dealt out once by
+digest range (the digest's first bytes), and every range then holds a stretch of each run. In each binomial round, within its
+range and without another exchange, FAN_IN neighbouring runs are merged: a sort aggregate walks the sorted rows, keeps the
+best row of every digest and adds up the sizes. A group of copies, however large, leaves one row per run before anything is
+dealt out, and no round sees more than FAN_IN rows of it in one merge. The digest is SHA-256; every level also
+holds the byte length and a second, independent 64-bit hash against it, so rows merge only where all three agree.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, free_name, text_or_empty
 
 FAN_IN = 16
+RANGE_BYTES = 2
 SPACE = "[\\x20\\x09-\\x0D]"
 
 
@@ -27,8 +26,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Equal are texts that are identical without the characters of SPACE; null counts as empty, and empty texts are
     equal to one another. The row with the most code points in its original text stays, then the smallest id,
     null ids last; of rows that are the same in both, exactly one is kept. keep_id is null only if all ids of the
-    group are. Other columns are not read. An empty table gives an empty result.
+    group are. Other columns are not read. An empty table gives an empty result. fan_in is 2 at least.
     """
+    if fan_in < 2:
+        raise ValueError("a round must merge two runs at least")
     text = text_or_empty(F.col(text_col))
     bare = F.regexp_replace(text, SPACE, "")
     rows = cut(
@@ -48,18 +49,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     key = ["digest", "bytes", "check"]
     runs = (rows.agg(F.max("run").alias("r")).first().r or 0) + 1
-    state = rows.select(
+    merged = lambda df, *by: df.groupBy(*by, *key).agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+    state = merged(
+        rows.select(
+            "run",
+            *key,
+            F.struct((-F.col("points")).alias("fewer"), F.col("id").isNull().alias("no_id"), "id", "row").alias("best"),
+            F.lit(1).cast("long").alias("size"),
+        ),
         "run",
-        *key,
-        F.struct((-F.col("points")).alias("fewer"), F.col("id").isNull().alias("no_id"), "id", "row").alias("best"),
-        F.lit(1).cast("long").alias("size"),
     )
-    for _ in range(max(1, math.ceil(math.log(runs, fan_in)))):
-        state = (
-            state.withColumn("run", F.expr(f"cast(run div {fan_in} as int)"))
-            .groupBy("run", *key)
-            .agg(F.min("best").alias("best"), F.sum("size").alias("size"))
-        )
+    state = state.withColumn("range", F.substring("digest", 1, RANGE_BYTES)).repartition("range")
+    while runs > 1:
+        state = merged(state.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")), "range", "run")
+        runs = -(-runs // fan_in)
     groups = state.select(*key, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "size")
     return rows.join(groups, key).select(
         F.col("id").alias(id_col),
