@@ -88,9 +88,9 @@ def parse_conversation(formatted: Column) -> Column:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per conv_id of (conv_id, turn, role, text): what was formatted and what was read back from it.
 
-    formatted; parsed array<struct(role, text)> from formatted alone; loss_spans array<struct(start, length)>, in code
-    points of formatted, of the assistant texts as they stand there (escaped where their turn is); round_trip, whether
-    parsed is the source. Rows go by turn, null turns first, then role and text, so ties and repeated rows all stay, in a
+    formatted; parsed array<struct(role, text)> from formatted alone; loss_spans array<struct(start, length, level)>, in code
+    points of formatted, of the assistant texts as they stand there (escaped to their turn's level); round_trip, true: were
+    parsed not the source, the query would fail rather than hand out what can't be read back. Rows go by turn, null turns first, then role and text, so ties and repeated rows all stay, in a
     fixed order. Null texts and roles are empty strings; rows without conv_id form one conversation. Other columns are not
     read. An empty table gives an empty result.
     """
@@ -121,33 +121,55 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.row_number().over(order).alias("k"),
         source.alias("source"),
         F.col("out.turn").alias("formatted"),
-        F.struct((before + head).alias("start"), (F.char_length("out.turn") - head - after).cast("long").alias("length")).alias("span"),
+        F.struct(
+            (before + head).alias("start"), (F.char_length("out.turn") - head - after).cast("long").alias("length"), F.col("out.level").alias("level")
+        ).alias("span"),
     )
     whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "source", "formatted", "span"))).alias("t"))
-    return whole.select(
+    read = whole.select(
         "conv_id",
         F.array_join("t.formatted", "").alias("formatted"),
         F.col("t.source").alias("source"),
         F.transform(F.filter("t", lambda x: x["source"]["role"] == "assistant"), lambda x: x["span"]).alias("loss_spans"),
-    ).select(
+    ).withColumn("parsed", parse_conversation(F.col("formatted")))
+    return read.select(
         "conv_id",
         "formatted",
-        parse_conversation(F.col("formatted")).alias("parsed"),
+        "parsed",
         "loss_spans",
-        (parse_conversation(F.col("formatted")) == F.col("source")).alias("round_trip"),
+        F.when(F.col("parsed").eqNullSafe(F.col("source")), True).otherwise(F.raise_error("a conversation doesn't parse back").cast("boolean")).alias("round_trip"),
     )
 
 
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """What stands under spans (start, length, level) of formatted, unescaped, one after the other.
+
+    The text is widened to four bytes a code point once, so that a span far in costs no walk from the start.
+    """
+
+    def cut_out(wide: Column) -> Column:
+        def one(span: Column) -> Column:
+            text = F.decode(F.substring(wide, (4 * span["start"] + 1).cast("int"), (4 * span["length"]).cast("int")), "UTF-32")
+            return F.when(span["level"] == 0, text).otherwise(_unescape(text))
+
+        return F.array_join(F.transform(spans, one), "")
+
+    # A lambda's argument is evaluated once; a column might be put in its place again for every span.
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-32")), cut_out), F.lit(0))
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, round_trip, read back from parsed."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, round_trip.
+
+    Turns are read back from parsed; the loss columns from what stands under loss_spans in formatted.
+    """
     said = F.array_join(F.transform("parsed", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("parsed", lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
-    return formatted.select(
+    return formatted.withColumn("loss", masked_text(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id",
         F.size("parsed").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
         "round_trip",
     )
