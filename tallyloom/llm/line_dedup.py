@@ -60,41 +60,41 @@ def dedup_lines(
 
     Lines end at a line feed and compare without spaces at their ends; blank lines are never removed and count in
     n_lines. A null text stays null, with 0 lines; a text that loses every line becomes the empty string. Rows that share an
-    id are one document: a line that stays in one stays in all of them, and so it is with all rows without an id.
-    Columns of docs named n_lines or n_removed stay, and the new ones get a leading underscore. An empty table gives an
-    empty result.
+    id are one document: a line that stays in one stays in all of them. Of a line that only rows without an id hold, all
+    stay; beside a row with an id, those without lose it. Columns of docs named n_lines or n_removed stay, and the new ones get
+    a leading underscore. An empty table gives an empty result.
     """
+    row, gone, lines, kept = (free_name(docs, f"__{x}") for x in ("row", "gone", "lines", "kept"))
     text = F.col(f"`{text_col}`")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "zstd")
     occurrences = cut(
-        docs.select(
+        rows.select(
+            F.col(row).alias("row"),
             F.col(f"`{id_col}`").alias("id"),
             F.col(f"`{site_col}`").cast("string").alias("site"),
-            F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text), "\n", -1), lambda x: F.trim(x)))).alias("line"),
+            F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("at", "line"),
         )
+        .withColumn("line", F.trim("line"))
         .filter("line <> ''")
-        .select("id", "site", _key(F.col("line")).alias("k"))
-        .select("id", "site", "k.h1", "k.h2")
+        .select("row", "id", "site", "at", _key(F.col("line")).alias("k"))
+        .select("row", "id", "site", "at", "k.h1", "k.h2")
     )
-    gone_id, gone = free_name(docs, "__gone_id"), free_name(docs, "__gone")
-    lines, kept = free_name(docs, "__lines"), free_name(docs, "__kept")
     removed = (
-        occurrences.join(boilerplate_lines(occurrences, min_sites, lg_k), ["h1", "h2"])
+        occurrences.join(boilerplate_lines(occurrences.select("id", "site", "h1", "h2"), min_sites, lg_k), ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy(F.col("id").alias(gone_id))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
+        .groupBy(F.col("row").alias(row))
+        .agg(F.sort_array(F.collect_list("at")).alias(gone))  # no more than one row's lines
     )
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    # What lies between two removed lines stays; each line is copied once.
+    ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col(gone)).alias("a"), F.concat(F.col(gone), F.array(F.size(lines))).alias("b"))
+    between = F.flatten(F.transform(ends, lambda x: F.slice(F.col(lines), x["a"] + 2, x["b"] - x["a"] - 1)))
     return (
-        docs.join(removed, docs[id_col].eqNullSafe(removed[gone_id]), "left")
+        rows.join(removed, row, "left")
         .withColumn(lines, F.split(text, "\n", -1))
-        .withColumn(
-            kept,
-            F.when(F.col(gone).isNull(), F.col(lines)).otherwise(
-                F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(gone), _key(F.trim(x))))
-            ),
-        )
+        .withColumn(kept, F.when(F.col(gone).isNull(), F.col(lines)).otherwise(between))
         .withColumn(n_lines, F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
-        .withColumn(n_removed, F.when(text.isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long"))
+        .withColumn(n_removed, F.when(text.isNull() | F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
         .withColumn(text_col, F.array_join(kept, "\n"))
-        .drop(gone_id, gone, lines, kept)
+        .select(*(F.col(f"`{c}`") for c in docs.columns), n_lines, n_removed)
     )
