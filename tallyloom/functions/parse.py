@@ -27,6 +27,13 @@ def first_object(response: Column) -> Column:
     return whole_json(F.get(found, F.lit(0)))
 
 
+def server_answer(response: Column) -> Column:
+    """A response's first object as JSON text with all its values; {"raw_response": text} without one, null for no text."""
+    found = first_object(response)
+    bare = F.regexp_replace(response, r"(?U)^\s+|\s+$", "")
+    return F.when(F.coalesce(response, F.lit("")) != "", F.coalesce(F.to_json(found), F.to_json(F.struct(bare.alias("raw_response")))))
+
+
 def grades(responses: DataFrame, *keys: str, response_col: str = "response") -> DataFrame:
     """(keys, dimension, grade): the numbers of a response's first object, truncated; true and false count as 1 and 0.
 

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.plans.dims import CATEGORIES, DIMENSIONS, FEATURES, FLAG_FEATURES, SUMMARIES
+from tallyloom.plans.guides import ASKED, LEVELS
 
 # The wording of prompts.
 EVIDENCE_RULES = """EVIDENCE-FIRST GRADING PROCESS (must follow):
@@ -191,21 +192,94 @@ def category(features: Column, examples: Column, name: str, style: str = "hybrid
     extra = F.when(F.lit(style == "hybrid") & (some != ""), F.concat(F.lit("\nReasoning (for feature-driven dimensions in this category):\n"), some)).otherwise("")
     target = F.concat(_target(features, "Now grade this new project:"), extra)
     last = f"Return ONLY a JSON object with integer scores (0–5) for these exact keys: {json.dumps(dims)}. Do NOT include reasoning in the JSON."
-    return _blocks(head, summary, _examples(examples, dims), target, last)
+    return _blocks(head, summary, _examples(examples, [d for d in DIMENSIONS if d in dims]), target, last)
 
 
-def guided(features: Column, examples: Column, guide: dict[str, tuple[str, str]]) -> Column:
-    """With the full rubric; guide gives each dimension's code and level descriptions."""
-    text = "\n".join(["SCORING GUIDE - Rubric Dimensions (1=Novice to 5=Expert):\n", *(f"{code}: {d.upper()}\n{what}\n" for d, (code, what) in guide.items())])
+def guided(features: Column, examples: Column, levels: dict[str, str] = LEVELS) -> Column:
+    """With the full rubric; levels gives each dimension's descriptions, in the order of the codes."""
+    lines = ["SCORING GUIDE - Rubric Dimensions (1=Novice to 5=Expert):\n"]
+    for i, (d, what) in enumerate(levels.items(), 1):
+        lines += [f"TRUNK-{i:02d}: {d.upper()}", f"{what}\n"]
     last = ONLY_GRADES.removesuffix(".") + ", referring to the scoring guide for each dimension."
-    return _blocks(text, _examples(examples), _target(features, "Now grade this new project using the rubric guide above:"), last)
+    return _blocks("\n".join(lines), _examples(examples), _target(features, "Now grade this new project using the rubric guide above:"), last)
 
 
-def questioned(features: Column, examples: Column, questions: dict[str, list[str]]) -> Column:
-    """With questions in place of the rubric; questions gives each dimension's, in order."""
+def questioned(features: Column, examples: Column, asked: dict[str, list[str]] = ASKED) -> Column:
+    """With questions in place of the rubric; asked gives each dimension's, in order."""
     lines = ["QUESTION GUIDE (Levels 1-5):\n"]
-    for i, (d, asked) in enumerate(questions.items(), 1):
-        lines += [f"{i}. {d.replace('_', ' ').title()}", *(f"- {q}" for q in asked), ""]
+    for i, (d, questions) in enumerate(asked.items(), 1):
+        lines += [f"{i}. {d.replace('_', ' ').title()}", *(f"- {q}" for q in questions), ""]
     lines.append("Score mapping: 1 = no skill, 2 = partial skill, 3 = correct skill, 4 = efficient skill, 5 = expert skill.")
     last = ONLY_GRADES.removesuffix(".") + ", using the question guide and the score mapping above."
     return _blocks("\n".join(lines), _examples(examples), _target(features, "Now grade this new project using the question guide above:"), last)
+
+
+STYLES = {"few_shot": few_shot, "chain_of_thought": chain_of_thought, "rubric_reference": guided, "question_based": questioned, "hybrid": hybrid}
+
+# The wording of generic prompts and of their variants.
+EXPERT = "You are an expert in grading student projects. Carefully evaluate the features and provide grades."
+OPENINGS = [
+    "You are a careful rubric grader. Use the examples to infer scores.",
+    "Act as an objective grader. Rely on the examples and the facts above.",
+    "Follow the rubric; prefer conservative judgments when uncertain.",
+]
+LONG_SNIPPETS = {
+    "algorithms": "Selective reasoning (algorithms): If relevant, briefly identify core algorithmic patterns (e.g., loops, conditionals, event flow) in one line.",
+    "sequencing": "Selective reasoning (sequencing): If relevant, list key ordered steps the project executes (1-3 bullets).",
+    "integration": "Selective reasoning (integration): If relevant, note how sprites/variables communicate or reuse code.",
+}
+SHORT_SNIPPETS = {
+    "algorithms": "Selective reasoning (algorithms): briefly identify core algorithmic patterns (loops, conditionals, event flow).",
+    "sequencing": "Selective reasoning (sequencing): list key ordered steps the project executes (1-3 bullets).",
+    "integration": "Selective reasoning (integration): note sprite/variable communication or code reuse.",
+}
+SCHEMA_ONLY = "RETURN ONLY JSON matching this schema:"
+UNABLE = 'If you cannot produce valid JSON, return {"error":"parse_failed","raw":<full_response>}'
+
+
+def snippets(on: list[str] | None, wording: dict[str, str] = SHORT_SNIPPETS) -> list[str]:
+    """The lines that ask for reasoning on some dimensions, in the order asked; those without a line are passed over."""
+    return [wording[x] for x in on or [] if x in wording]
+
+
+def generic(examples: Column, schema: str, reason_on: list[str] | None = None, enforce_json: bool = True) -> Column:
+    """A prompt without a target: an opening, the examples, asked-for reasoning and, if enforced, the answer's schema."""
+    last = [f"{SCHEMA_ONLY} {schema}", UNABLE] if enforce_json else []
+    return _blocks(EXPERT, F.nullif(_examples(examples), F.lit("")), *snippets(reason_on, LONG_SNIPPETS), *last)
+
+
+def variant(examples: Column, schema: str, facts: Column | None = None, reason_on: list[str] | None = None, enforce_json: bool = True, number: int = 0) -> Column:
+    """One wording of a prompt over examples that are texts already; facts is an array of short texts."""
+    known = F.when(F.size(facts) > 0, F.concat(F.lit("Facts: "), F.array_join(facts, " | "))) if facts is not None else F.lit(None).cast("string")
+    last = [f"{SCHEMA_ONLY}\n{schema}", UNABLE] if enforce_json else []
+    shown = F.concat(F.lit("Examples:\n"), F.array_join(examples, "\n\n"))
+    return _blocks(known, OPENINGS[number] if number in (0, 1) else OPENINGS[2], shown, *snippets(reason_on), *last)
+
+
+def ensemble(examples: Column, schema: str, facts: Column | None = None, reason_on: list[str] | None = None, n: int = 3) -> Column:
+    """array<string>: the first n variants, to be asked side by side and voted on."""
+    return F.array(*(variant(examples, schema, facts, reason_on, number=i) for i in range(n)))
+
+
+def example_texts(examples: Column) -> Column:
+    """array<string> of array<struct(features, grades)>, for variant() and ensemble()."""
+    return F.transform(examples, lambda x: F.concat_ws("\n", F.lit("Features:"), feature_lines(x["features"]), F.lit("Grades:"), grade_lines(x["grades"])))
+
+
+def of_records(records: DataFrame, k: int = 3, style: str = "few_shot") -> DataFrame:
+    """One row (id, prompt): the first k records by pos are the examples, the next one, or else the last, is the target.
+
+    An unknown style is few_shot. Needs one example and a target that isn't among them.
+    """
+    n = records.count()
+    if n < 2 or k < 1:
+        raise ValueError("a prompt needs an example besides its target")
+    shown = min(k, n - 1)
+    own = F.struct("pos", "id", F.struct(*FEATURES).alias("features"), "grades")
+    head = records.select(own.alias("r")).orderBy("r.pos").limit(shown + 1)  # a few rows
+    whole = head.agg(F.sort_array(F.collect_list("r")).alias("r"))
+    examples = F.transform(F.slice("r", 1, shown), lambda x: F.struct(x["features"].alias("features"), x["grades"].alias("grades")))
+    target = F.element_at("r", shown + 1)
+    return whole.select(target["id"].alias("id"), target["features"].alias("features"), examples.alias("examples")).select(
+        "id", STYLES.get(style, few_shot)(F.col("features"), F.col("examples")).alias("prompt")
+    )

@@ -41,6 +41,43 @@ def http_provider(url: str, model: str, timeout: float = 120.0, **options) -> Ca
     return make
 
 
+# Fixed value: what a local model is told before the prompt.
+STRICT = "You are a strict grading assistant. Return only a JSON object with rubric keys and integer scores."
+
+
+def local_provider(model: str, max_new_tokens: int = 256, temperature: float = 0.0, top_p: float = 0.9, seed: int | None = None, device: str = "auto") -> Callable[[], Provider]:
+    """Factory of a provider that runs a chat model in the task's own process; needs torch and transformers there.
+
+    device "auto" is CUDA where there is any, else the CPU. With temperature 0 the likeliest token is taken each time.
+    """
+
+    def make() -> Provider:
+        try:
+            import torch
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ImportError as e:
+            raise RuntimeError("a local model needs the packages torch and transformers") from e
+        place = ("cuda" if torch.cuda.is_available() else "cpu") if device == "auto" else device
+        words, net = AutoTokenizer.from_pretrained(model), AutoModelForCausalLM.from_pretrained(model).to(place)
+        how = {"do_sample": True, "temperature": temperature, "top_p": top_p} if temperature > 0 else {"do_sample": False}
+
+        def ask(prompts: list[str]) -> list[str]:
+            out = []
+            for p in prompts:
+                if seed is not None:
+                    torch.manual_seed(seed)
+                asked = words.apply_chat_template([{"role": "system", "content": STRICT}, {"role": "user", "content": p}], tokenize=False, add_generation_prompt=True)
+                held = words(asked, return_tensors="pt").to(place)
+                with torch.no_grad():
+                    made = net.generate(**held, max_new_tokens=max_new_tokens, pad_token_id=words.eos_token_id, **how)
+                out.append(words.decode(made[0][held["input_ids"].shape[1] :], skip_special_tokens=True).strip())
+            return out
+
+        return ask
+
+    return make
+
+
 def answer(prompts: DataFrame, make: Callable[[], Provider] = fixed_answers, partitions: int | None = None, prompt_col: str = "prompt") -> DataFrame:
     """prompts with response; partitions bounds the number of requests at a time."""
     names = [*prompts.columns, "response"]

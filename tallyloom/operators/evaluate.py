@@ -92,11 +92,11 @@ def sample_errors(facts: DataFrame, dimensions: list[str] = DIMENSIONS) -> DataF
 
 
 def summary(facts: DataFrame) -> DataFrame:
-    """One row with every pooled metric; raises on empty facts."""
+    """One row with every pooled metric; raises on empty facts. Samples are told apart by pos, where facts have it, else by sample_id."""
     cells = cube(clamp_predictions(facts))
     if cells.isEmpty():
         raise ValueError("there is nothing to evaluate")
-    one = facts.agg(F.count_distinct("sample_id").alias("num_samples"), F.count_distinct("dimension").alias("num_dimensions"))
+    one = facts.agg(F.count_distinct("pos" if "pos" in facts.columns else "sample_id").alias("num_samples"), F.count_distinct("dimension").alias("num_dimensions"))
     by = mae_by_dimension(cells).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dimension", "mae")))).alias("mae_by_dimension"))
     classes = class_metrics(cells).agg(
         *(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", c)))).alias(f"{c}_by_class") for c in ("precision", "recall", "f1"))
@@ -106,6 +106,21 @@ def summary(facts: DataFrame) -> DataFrame:
     return one
 
 
+def summary_long(one: DataFrame) -> DataFrame:
+    """(metric, key, value) of summary()'s row: key is a dimension, a class or null."""
+    plain = ["num_samples", "num_dimensions", "accuracy", "kappa", "macro_precision", "macro_recall", "macro_f1"]
+    keyed = ["mae_by_dimension", "precision_by_class", "recall_by_class", "f1_by_class"]
+
+    def entry(metric: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+
+    def entries(metric: str) -> Column:
+        return F.transform(F.map_entries(metric), lambda x: entry(metric, x["key"], x["value"]))
+
+    rows = [F.array(entry(c, F.lit(None), F.col(c))) for c in plain] + [entries(c) for c in keyed]
+    return one.select(F.explode(F.concat(*rows)).alias("e")).select("e.*")
+
+
 def confusion_map(facts: DataFrame, order_col: str = "sample_id") -> DataFrame:
     """(dimension, predicted, remapped): the most frequent actual value; of equally frequent ones, the one first met in order_col."""
     pairs = facts.groupBy("dimension", "predicted", "actual").agg(F.count("*").alias("n"), F.min(order_col).alias("first"))
@@ -152,11 +167,17 @@ def project_ids(sheet: DataFrame) -> DataFrame:
     return sheet.withColumn("project_id", F.coalesce(of_url, F.col("ID").cast("long"))).filter("project_id is not null")
 
 
-def label_grades(sheet: DataFrame) -> DataFrame:
-    """(project_id, dimension, actual) of a sheet with one column per dimension; blank and unreadable grades are 0."""
+def sheet_grades(sheet: DataFrame) -> dict[str, Column]:
+    """For each dimension, its grade in a sheet with one column per dimension; blank, unreadable and missing grades are 0."""
     from tallyloom.plans.dims import SHEET_COLUMNS
 
     there = {c.lower() for c in sheet.columns}
     grade = lambda c: F.coalesce(F.expr(f"cast(try_cast(`{c}` as double) as int)"), F.lit(0)) if c.lower() in there else F.lit(0)
-    rows = [F.struct(F.lit(d).alias("dimension"), grade(c).alias("actual")) for c, d in SHEET_COLUMNS.items()]
-    return project_ids(sheet).select("project_id", F.inline(F.array(*rows)))
+    return {d: grade(c) for c, d in SHEET_COLUMNS.items()}
+
+
+def label_grades(sheet: DataFrame) -> DataFrame:
+    """(project_id, dimension, actual) of a sheet; see sheet_grades()."""
+    wide = project_ids(sheet)
+    grades = sheet_grades(sheet)
+    return wide.select("project_id", *(g.alias(d) for d, g in grades.items())).unpivot("project_id", list(grades), "dimension", "actual")

@@ -243,15 +243,17 @@ def initialised_variables(blocks: DataFrame, order_col: str, variable_col: str,
     )
 
 
-def json_depth(text: Column, deepest: int = 32) -> Column:
-    """How deep arrays and objects nest in a JSON text, up to `deepest`; 0 for no container.
+def json_depth(text: Column) -> Column:
+    """How deep arrays and objects nest in a JSON text; 0 for no container.
 
-    Strings are blanked first; then every innermost empty pair of brackets is removed again and again.
+    Strings are blanked first; then one walk over the brackets that are left counts what is open.
     """
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
-    brackets = F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]")
-    start = F.struct(brackets.alias("b"), F.lit(0).alias("d"))
-    step = lambda x, _: F.struct(
-        F.regexp_replace(x["b"], r"\[\]", "").alias("b"), (x["d"] + F.when(x["b"] != "", 1).otherwise(0)).alias("d")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), start, step, lambda x: x["d"])
+    bare = F.regexp_replace(text, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    brackets = F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]"), "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def walk(held: Column, x: Column) -> Column:
+        now = held["open"] + F.when(x == "[", 1).when(x == "]", -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(held["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, walk, lambda held: held["most"])

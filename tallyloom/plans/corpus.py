@@ -77,6 +77,49 @@ def block_projects(spark: SparkSession, sf_dir: str) -> Projects:
     return Projects(rows.select("project_id").distinct(), targets, blocks, names, comments)
 
 
+def raw_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 as raw JSON, (project_id, json): what a project's address answers."""
+    p = block_projects(spark, sf_dir)
+    key = ["project_id", "target_idx"]
+    block = F.struct(
+        F.col("opcode"),
+        F.col("parent_id").alias("parent"),
+        F.when(F.col("broadcast_name").isNotNull(), F.struct(F.array("broadcast_name", "block_id").alias("BROADCAST_OPTION"))).alias("fields"),
+    )
+    blocks = p.blocks.groupBy(*key, "target_name").agg(F.map_from_entries(F.collect_list(F.struct("block_id", block))).alias("blocks"))
+    rows = block_rows(spark, sf_dir).selectExpr("project_id", "target_idx", "block_id", "opcode", "k")
+    variable = "case when opcode = 'data_setvariableto' then case k % 4 when 0 then 'score' when 1 then concat('var', k) when 2 then 'lives' else 'speed' end end"
+    listed = "case when opcode = 'data_addtolist' then case when k % 3 = 0 then 'list1' else concat('inventory', k % 3) end end"
+    said = "case when opcode = 'pen_stamp' then case k % 3 when 0 then 'debug me' when 1 then 'Fix the component' else 'note' end end"
+    named = lambda c: F.map_from_entries(F.transform(F.array_sort(F.collect_set(F.expr(c))), lambda x: F.struct(x, F.array(x, F.lit("0")))))
+    owned = rows.groupBy(*key).agg(
+        named(variable).alias("variables"),
+        named(listed).alias("lists"),
+        F.map_from_entries(F.collect_list(F.when(F.expr(said).isNotNull(), F.struct(F.col("block_id").cast("string"), F.struct(F.expr(said).alias("text")))))).alias("comments"),
+    )
+    target = F.struct(
+        (F.col("target_idx") == 0).alias("isStage"), F.col("target_name").alias("name"), "blocks", "variables", "lists", "comments"
+    )
+    texts = blocks.join(owned, key).select(*key, F.to_json(target).alias("text"))
+    whole = texts.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("target_idx", "text"))).alias("t"))
+    return whole.select("project_id", F.concat(F.lit('{"targets":['), F.array_join("t.text", ","), F.lit("]}")).alias("json"))
+
+
+def project_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet over C1's projects, in order: by URL or ID, with a second reviewer for some, and rows whose project isn't there."""
+    ids = block_rows(spark, sf_dir).select("project_id").distinct()
+    rows = ids.selectExpr("project_id", "explode(if(project_id % 10 = 0, array(1, 2), array(1))) as Reviewer").selectExpr(
+        "project_id as n", "case when project_id % 50 = 1 then project_id + 1000000000 else project_id end as project_id", "Reviewer"
+    )
+    grade = lambda i: F.nullif((F.col("n") + i + F.col("Reviewer")) % 7, F.lit(6)).cast("double")
+    return rows.orderBy("n", "Reviewer").select(
+        F.when(F.col("n") % 3 == 0, F.col("project_id")).alias("ID"),
+        F.when(F.col("n") % 3 != 0, F.concat(F.lit("https://example.com/projects/"), "project_id", F.lit("/"))).alias("URL"),
+        "Reviewer",
+        *(grade(i).alias(c) for i, c in enumerate(SHEET_COLUMNS, 1)),
+    )
+
+
 def dimension_rows(spark: SparkSession) -> DataFrame:
     """(dim_idx from 1, dimension): twenty rows."""
     return spark.createDataFrame([(i, d) for i, d in enumerate(DIMENSIONS, 1)], "dim_idx int, dimension string")

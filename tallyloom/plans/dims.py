@@ -27,6 +27,7 @@ SHEET_COLUMNS = {
 }
 DIMENSIONS = list(SHEET_COLUMNS.values())
 
+# The categories, in their order, and the names of features.
 CATEGORIES = {
     "core_logic": ["problem_decomposition", "sequencing", "loops", "conditionals", "algorithms", "nesting"],
     "state_data": ["variables", "lists", "math"],
@@ -55,7 +56,7 @@ FLAG_FEATURES = [
 ]
 FEATURES = NUMERIC_FEATURES + FLAG_FEATURES
 
-#: Each question and the rule that answers it, over the columns of operators.features.project_context(). Questions
+# The questions' names. Each question and the rule that answers it, over the columns of operators.features.project_context(). Questions
 #: that block programs give no evidence for are always false.
 QUESTIONS: dict[str, dict[str, str]] = {
     "problem_decomposition": {
@@ -219,7 +220,7 @@ QUESTIONS: dict[str, dict[str, str]] = {
     },
 }
 
-#: (condition, score) in order; the first that holds decides. In conditions, a question's name is its answer and n is the number
+# Fixed values: (condition, score) in order; the first that holds decides. In conditions, a question's name is its answer and n is the number
 #: of true answers. Dimensions that aren't here are scored by the share of true answers.
 LADDERS: dict[str, list[tuple[str, int]]] = {
     "debugging": [("n = 0", 0), ("n = 1", 1), ("true", 2)],
@@ -304,7 +305,7 @@ LADDERS: dict[str, list[tuple[str, int]]] = {
     ],
 }
 
-#: Level summaries, as prompts show them.
+# Level summaries, as prompts show them.
 SUMMARIES = {
     "problem_decomposition": "1=no decomposition | 2=partial/incomplete | 3=clear manageable parts | 4=systematic with dependencies | 5=hierarchical top-down",
     "sequencing": "1=random/incorrect | 2=mostly correct with one misorder | 3=correct logical flow | 4=efficient deliberate | 5=optimal adaptable",

@@ -15,37 +15,29 @@ from tallyloom.plans.dims import CATEGORIES, DIMENSIONS, FEATURES
 from tallyloom.sources.lineage import cut
 from tallyloom.sources.projects import Projects, parse_projects
 
-STYLES = {"few_shot": prompt.few_shot, "chain_of_thought": prompt.chain_of_thought, "hybrid": prompt.hybrid}
-
 
 def enrich(sheet: DataFrame, raw: DataFrame) -> DataFrame:
-    """Label rows with the features, answers and scores of their projects.
+    """Label rows with the features, answers and scores of their projects, one record for each row.
 
     raw is (project_id, json). Rows without a project id, or whose project's JSON is missing, null or `{}`, go; a project with no targets
-    stays. Returns pos (the order of ids), id, grades (array in the order of DIMENSIONS), the features, answers and
+    stays. Returns pos (the order of the sheet's rows), id, grades (array in the order of DIMENSIONS), the features, answers and
     model_scores (structs). A project that can't be parsed counts as one without targets.
     """
-    grades = (
-        evaluate.label_grades(sheet)
-        .groupBy("project_id", "dimension")
-        .agg(F.max("actual").alias("actual"))
-        .groupBy("project_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("dimension", "actual"))).alias("g"))
-        .select("project_id", F.array(*(F.element_at("g", d) for d in DIMENSIONS)).alias("grades"))
-    )
+    labelled = evaluate.project_ids(sheet.withColumn("_row", F.monotonically_increasing_id()))
+    labelled = labelled.select("_row", "project_id", F.array(*evaluate.sheet_grades(sheet).values()).alias("grades"))
     there = raw.filter(F.col("json").isNotNull() & ~F.trim("json").isin("", "null", "{}")).dropDuplicates(["project_id"])
     projects = parse_projects(there)
     context = features.project_context(projects)
     answers = features.atomic_answers(context)
     scored = scoring.scores(answers).select("project_id", F.struct(*DIMENSIONS).alias("model_scores"))
     nested = answers.select("project_id", F.struct(*DIMENSIONS).alias("answers"))
-    whole = grades.join(features.project_features(projects), "project_id").join(nested, "project_id").join(scored, "project_id")
-    return with_positions(whole.withColumnRenamed("project_id", "id"))
+    whole = features.project_features(projects).join(nested, "project_id").join(scored, "project_id")
+    return with_positions(labelled.join(whole, "project_id").withColumnRenamed("project_id", "id"), "_row").drop("_row")
 
 
-def with_positions(records: DataFrame) -> DataFrame:
-    """records with pos, their place by id from 0, without gathering them in one task."""
-    dealt = cut(records.repartitionByRange("id").sortWithinPartitions("id").withColumn("_at", F.monotonically_increasing_id()))
+def with_positions(records: DataFrame, by: str = "id") -> DataFrame:
+    """records with pos, their place by a column from 0, without gathering them in one task."""
+    dealt = cut(records.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()))
     dealt = dealt.withColumn("_part", F.shiftright("_at", 33)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = dealt.groupBy("_part").count()
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -105,7 +97,7 @@ def leave_one_out(records: DataFrame, settings: Settings = Settings()) -> DataFr
         each = [F.struct(F.lit(i).alias("part"), prompt.category(F.col("features"), F.col("examples"), c, settings.style).alias("prompt")) for i, c in enumerate(CATEGORIES)]
         prompts = asked.select("test_pos", F.inline(F.array(*each)))
     else:
-        prompts = asked.select("test_pos", F.lit(0).alias("part"), STYLES[settings.style](F.col("features"), F.col("examples")).alias("prompt"))
+        prompts = asked.select("test_pos", F.lit(0).alias("part"), prompt.STYLES[settings.style](F.col("features"), F.col("examples")).alias("prompt"))
     prompts = prompts.withColumn("pass", F.explode(F.array(*map(F.lit, range(settings.passes)))))
     answers = cut(provider.answer(prompts, settings.make_provider, settings.partitions).drop("prompt"))
     read = parse.grades(answers, "test_pos", "part", "pass")
@@ -125,12 +117,11 @@ def leave_one_out(records: DataFrame, settings: Settings = Settings()) -> DataFr
 
 
 def stored_facts(records: DataFrame) -> DataFrame:
-    """Long facts of records with grades and model_scores, as enrich() gives them."""
-    rows = [
-        F.struct(F.lit(d).alias("dimension"), F.coalesce(F.get("grades", F.lit(i)), F.lit(0)).alias("actual"), scoring.clamp(F.col(f"model_scores.{d}")).alias("predicted"))
-        for i, d in enumerate(DIMENSIONS)
-    ]
-    return records.select(F.col("id").alias("sample_id"), F.inline(F.array(*rows)))
+    """Long facts (pos, sample_id, dimension, actual, predicted) of records with grades and model_scores, as enrich() gives them."""
+    flat = records.select("pos", F.col("id").alias("sample_id"), "grades", *(scoring.clamp(F.col(f"model_scores.{d}")).alias(d) for d in DIMENSIONS))
+    place = F.array_position(F.array(*map(F.lit, DIMENSIONS)), F.col("dimension")).cast("int")
+    long = flat.unpivot(["pos", "sample_id", "grades"], DIMENSIONS, "dimension", "predicted")
+    return long.select("pos", "sample_id", "dimension", F.coalesce(F.get("grades", place - 1), F.lit(0)).alias("actual"), "predicted")
 
 
 def features_of(raw: DataFrame) -> tuple[Projects, DataFrame]:

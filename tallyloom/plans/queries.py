@@ -11,10 +11,11 @@ from tallyloom.operators import features as fe
 from tallyloom.operators import retrieve as rt
 from tallyloom.operators import scoring as sc
 from tallyloom.operators.graph import control_depth
-from tallyloom.plans import corpus
+from tallyloom.plans import corpus, loocv
 from tallyloom.plans.dims import CATEGORIES, DIMENSIONS, FEATURES
 
 P = "p_"
+SCHEMA = '{"loops": "0-5", "math": "0-5"}'
 
 
 def _cells(spark, sf):
@@ -182,6 +183,11 @@ def first_k_examples(spark, sf):
     return rt.first_examples(r, _tests(r), 3).select("test_id", "rank", "id")
 
 
+def mmr_pick_k2(spark, sf):
+    r = _records(spark, sf)
+    return rt.mmr_examples(r, _tests(r), 2).select("test_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
+
+
 def mmr_pick(spark, sf):
     r = _records(spark, sf)
     return rt.mmr_examples(r, _tests(r), 3).select("test_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
@@ -248,6 +254,14 @@ def prompt_hybrid(spark, sf):
     return _prompted(spark, sf, prompt.hybrid)
 
 
+def prompt_rubric_reference(spark, sf):
+    return _prompted(spark, sf, prompt.guided)
+
+
+def prompt_question_based(spark, sf):
+    return _prompted(spark, sf, prompt.questioned)
+
+
 def prompt_category(spark, sf):
     def build(features, examples):
         return F.array(*(F.struct(F.lit(c).alias("category"), prompt.category(features, examples, c).alias("prompt")) for c in CATEGORIES))
@@ -255,12 +269,61 @@ def prompt_category(spark, sf):
     return _prompted(spark, sf, build).select("test_id", F.inline("prompt"))
 
 
+def prompt_generic(spark, sf):
+    return _prompted(spark, sf, lambda features, examples: prompt.generic(examples, SCHEMA, ["algorithms", "nothing", "integration"]))
+
+
+def prompt_ensemble(spark, sf):
+    def build(features, examples):
+        facts = F.array(F.concat(F.lit("Fact: blocks "), features["block_count"].cast("string")), F.lit("Fact: graded by hand"))
+        return prompt.ensemble(prompt.example_texts(examples), SCHEMA, facts, ["sequencing"], 3)
+
+    return _prompted(spark, sf, build).select("test_id", F.posexplode("prompt").alias("number", "prompt"))
+
+
+def prompt_of_records(spark, sf):
+    """The first three records are the examples, the fourth is the target."""
+    return prompt.of_records(_records(spark, sf), 3, "hybrid")
+
+
 def provider_grades(spark, sf):
     """Prompts, answers of the provider without a model, and the grades in them."""
     answers = provider.answer(prompt_few_shot(spark, sf))
     return parse.grades(answers, "test_id")
 
 
+def response_server(spark, sf):
+    r = corpus.responses(spark, sf).select("conv_id", "turn", parse.server_answer(F.col("response")).alias("a"))
+    return r.select("conv_id", "turn", *(F.get_json_object("a", f"$.{k}").alias(k) for k in ("loops", "math", "lists", "raw_response")))
+
+
+def _enriched(spark, sf):
+    return loocv.enrich(corpus.project_sheet(spark, sf), corpus.raw_projects(spark, sf))
+
+
+def enriched_records(spark, sf):
+    """One row per row of the label sheet whose project is there: place, grades, features, scores."""
+    r = _enriched(spark, sf)
+    whole = lambda *c: F.concat_ws(",", *(x.cast("string") for x in c))
+    return r.select(
+        "pos", "id", F.array_join(F.col("grades").cast("array<string>"), ",").alias("grades"), *FEATURES, whole(*(F.col(f"model_scores.{d}") for d in DIMENSIONS)).alias("scores")
+    )
+
+
+def stored_evaluation(spark, sf):
+    """Every pooled metric of the enriched records' stored scores."""
+    return ev.summary_long(ev.summary(loocv.stored_facts(_enriched(spark, sf)))).withColumn("value", F.round("value", 6))
+
+
+def leave_one_out(spark, sf):
+    """Each record graded with the first two others as its examples, by the provider without a model; capped as in v1."""
+    return loocv.leave_one_out(_records(spark, sf), loocv.Settings(num_examples=2, calibration="v1"))
+
+
+def leave_one_out_summary(spark, sf):
+    return ev.summary_long(ev.summary(leave_one_out(spark, sf))).withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -268,9 +331,11 @@ QUERIES = {
         pred_clamp, confusion_map, confusion_remap, vote_majority, vote_median, vote_mean, vote_pass_means, label_ids, label_grades_long,
         project_features, project_context, nesting_depth, atomic_answers_long, scores_all_dims, score_distribution,
         calibrate_v1, calibrate_v2, hard_constraints, complexity_band,
-        similarity_top8, candidate_pool, mmr_weights, first_k_examples, mmr_pick, retrieval_blend, balanced_pick, contrastive_pick,
-        response_grades, response_sanitized, response_confidence,
-        prompt_few_shot, prompt_chain_of_thought, prompt_hybrid, prompt_category, provider_grades,
+        similarity_top8, candidate_pool, mmr_weights, first_k_examples, mmr_pick_k2, mmr_pick, retrieval_blend, balanced_pick, contrastive_pick,
+        response_grades, response_sanitized, response_confidence, response_server,
+        prompt_few_shot, prompt_chain_of_thought, prompt_hybrid, prompt_rubric_reference, prompt_question_based, prompt_category,
+        prompt_generic, prompt_ensemble, prompt_of_records, provider_grades,
+        enriched_records, stored_evaluation, leave_one_out, leave_one_out_summary,
     )
 }
 

@@ -32,11 +32,15 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def write_stages(raw: DataFrame, answers: DataFrame, scores: DataFrame, folder: str, order: str | None = None) -> dict[str, str]:
-    """Raw projects, answers and scores as Parquet, one row per project; where a project occurs again, the last by order stays."""
+    """Raw projects, answers and scores as Parquet, one row per project; where a project occurs again, the last one stays.
+
+    The last by order, where the table has such a column, else in the order in which it is read.
+    """
     paths = {"raw_projects": raw, "atomic_features": answers, "model_scores": scores}
     out = {}
     for name, df in paths.items():
-        df = last_of_each(df, "project_id", order) if order and order in df.columns else df.dropDuplicates(["project_id"])
+        by = order if order and order in df.columns else "_read"
+        df = last_of_each(df if by == order else df.withColumn(by, F.monotonically_increasing_id()), "project_id", by).drop("_read")
         out[f"{name}_path"] = f"{folder.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(out[f"{name}_path"])
     return out
@@ -56,6 +60,13 @@ def write_prompts(prompts: DataFrame, path: str, prompt_col: str = "prompt") ->
     prompts.select(F.col(prompt_col).alias("value")).write.mode("overwrite").text(path, lineSep="\n\n\n")
 
 
+def write_prompt(prompt: str, path: str) -> str:
+    """One prompt as one text file on the driver, over whatever was there."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(prompt)
+    return path
+
+
 def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").json(path)
 

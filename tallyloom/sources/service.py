@@ -1,4 +1,7 @@
-"""A small HTTP front: POST {"url": ...} for a project's prompt and grades, GET for health. It runs on the driver, one request at a time."""
+"""A small HTTP front: POST {"url": ...} for a project's prompt and grades, GET for health. It runs on the driver, one request at a time.
+
+plans.grading.Grader is the grade that fetches, prompts and asks a provider; requests may set prompt_style, provider and model.
+"""
 
 from __future__ import annotations
 
@@ -10,8 +13,12 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 PROJECT = re.compile(r"/projects/(\d+)")
 
 
+# The keys of an answer.
+KEYS = ("status", "url", "prompt_path", "grades")
+
+
 def payload(url: str, prompt_path: str, grades: dict | None) -> dict:
-    return {"status": "ok", "url": url, "prompt_path": prompt_path, "grades": grades}
+    return dict(zip(KEYS, ("ok", url, prompt_path, grades), strict=True))
 
 
 def respond(body: str, grade: Callable[[str, dict], tuple[str, dict | None]]) -> tuple[int, dict]:
