@@ -12,7 +12,7 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,8 @@ UNEVEN = f"[{WHITE}][{WHITE}]|^[{WHITE}]|[{WHITE}]$|\x01"
 #: A stop after a letter starts a token as well; in the column-wise split, MARK stands before such a stop.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 STOPPED, MARK = f"([{LETTERS}])([.,!?;:])", "\x01"
-MEMO = 1_200_000
+#: Estimated bytes that a memo may hold between two parts, and what an entry takes besides its text and ids.
+MEMO, ENTRY = 256_000_000, 200
 PART_BYTES = 8_000_000
 _encoders: dict = {}
 memo("chunks", _encoders.clear)
@@ -56,7 +57,7 @@ class ChunkEncoder:
     """Little-endian unsigned 32-bit ids of texts; encode_chunks gives those of distinct chunks."""
 
     def __init__(self, pattern: re.Pattern, encode_chunks: Callable[[list[str]], Iterable[bytes]], most: int = MEMO):
-        self.find, self.encode_chunks, self.most, self.memo = pattern.findall, encode_chunks, most, {}
+        self.find, self.encode_chunks, self.most, self.memo, self.held = pattern.findall, encode_chunks, most, {}, 0
         self.spaced = pattern == SPACED  # not "is": tasks get copies
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
@@ -74,17 +75,20 @@ class ChunkEncoder:
         even = iter(self._by_space(texts.filter(pc.invert(uneven))))
         return [next(odd if x else even) for x in uneven.to_pylist()]
 
-    def _learn(self, chunks: Iterable[str]) -> None:
-        if len(self.memo) > self.most:
-            self.memo = {}
+    def _learn(self, chunks: Collection[str]) -> None:
+        """Sees to it that the memo has the chunks; where that takes it over its bound, what they don't need goes."""
         memo = self.memo
         new = [x for x in chunks if x not in memo]
         gc.disable()  # the many short-lived objects would set it off again and again
         try:
             for chunk, ids in zip(new, self.encode_chunks(new), strict=True):
                 memo[chunk] = ids
+                self.held += ENTRY + len(chunk) + len(ids)
         finally:
             gc.enable()
+        if self.held > self.most:
+            self.memo = {x: memo[x] for x in chunks}
+            self.held = sum(ENTRY + len(x) + len(ids) for x, ids in self.memo.items())
 
     def _by_pattern(self, texts: list[str]) -> list[bytes]:
         split = [self.find(x) for x in texts]

@@ -200,3 +200,62 @@ def test_fillings_are_undominated():
         left = 9 - sum(filling)
         assert left >= 0 and not any(x <= left and filling.count(x) < n for x, n in counts.items())
     assert packing.fillings({9: 1, 4: 2}, 9) == [(9,)]
+
+
+def test_dominated_fillings_are_pruned():
+    assert packing.fillings({6: 1, 3: 2}, 7) == [(6,)]  # one piece of 6 may stand for two of 3
+    assert packing.dominated({3: 2}, {6: 1, 3: 2}, 7) and not packing.dominated({6: 1}, {6: 1, 3: 2}, 7)
+    assert packing.dominated({4: 1}, {4: 1, 2: 1}, 6)  # there is room for another
+    assert packing.dominated({4: 1, 3: 1}, {5: 1, 4: 1, 3: 1}, 8) and not packing.dominated({5: 1, 3: 1}, {5: 1, 4: 1, 3: 1}, 8)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8), st.integers(1, 16))
+def test_some_filling_is_undominated_and_all_fit(lengths, room):
+    counts = {x: lengths.count(x) for x in set(lengths)}
+    for filling in (found := packing.fillings(counts, room)):
+        assert sum(filling) <= room and all(filling.count(x) <= counts[x] for x in filling)
+        assert len(found) == 1 or not packing.dominated({x: filling.count(x) for x in filling}, counts, room)
+    best = max((sum(x for i, x in enumerate(lengths) if bits >> i & 1) for bits in range(1 << len(lengths))), key=lambda s: s if s <= room else -1)
+    assert sum(found[0]) == best
+
+
+def plain_best_fit(lengths, capacity):
+    bins = []
+    for x in sorted(lengths, reverse=True):
+        own = min((b for b in bins if b[0] >= x), key=lambda b: b[0], default=None)
+        if own is None:
+            bins.append(own := [capacity])
+        own[0] -= x
+        own.append(x)
+    return sorted(sum(b[1:]) for b in bins)  # of two with equal room, either may be taken, which changes no sum
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=40))
+def test_best_fit_by_groups_is_best_fit(lengths):
+    groups = packing.best_fit({x: lengths.count(x) for x in set(lengths)}, 30)
+    assert sorted(x for n, p in groups for x in p * n) == sorted(lengths)
+    assert sorted(sum(p) for n, p in groups for _ in range(n)) == plain_best_fit(lengths, 30)
+
+
+@pytest.mark.parametrize("histogram", [{1: 5000}, {1: 5000, 2048: 3}, {2: 5000, 1: 3000}, {1: 10**9, 512: 10**8, 3: 1}])
+def test_plan_of_very_many_short_pieces(histogram):
+    plan = packing.plan(histogram)
+    total = sum(x * n for x, n in histogram.items())
+    assert sum(n * sum(p) for n, p in plan) == total and sum(n for n, _ in plan) == -(-total // 2048)
+
+
+def test_many_empty_documents(spark):
+    df = spark.range(10_000).select(F.col("id").alias("length"), F.when(F.col("id") % 2 == 0, "").alias("text"))
+    rows = packing.pack_documents(df, P.path("word_bpe_49k.json"), id_col="length").collect()
+    assert list(rows[0].asDict()) == ["length", "piece", "start", "_length", "ids_crc32", "ids", "sequence_id", "offset"]
+    assert sorted(r.length for r in rows) == list(range(10_000)) and all(r.ids == [0] for r in rows)
+    assert len({r.sequence_id for r in rows}) == -(-10_000 // 2048)
+
+
+def test_memo_keeps_to_its_bound():
+    encoder = chunks.library_encoder(P.path("byte_bpe_50k.json"), chunks.SPACED, most=20_000)
+    for k in range(5):
+        list(encoder(pa.array([" ".join(f"w{i}" for i in range(1000 * k, 1000 * k + 50)), "a b  c"])))
+        assert 0 < encoder.held <= 20_000 and encoder.held == sum(chunks.ENTRY + len(x) + len(y) for x, y in encoder.memo.items())
