@@ -166,3 +166,37 @@ def test_chat_parser_rejects_what_the_grammar_does_not_give(spark):
 def test_crc_is_unsigned_and_of_utf8(spark):
     got = spark.createDataFrame([("é",)], "t string").select(F.crc32(F.encode("t", "UTF-8"))).first()[0]
     assert got == zlib.crc32("é".encode())
+
+
+def test_rows_equal_in_every_column_are_spread(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    rows = shard_rows(df.repartition(4), shards=4, block_rows=160, least_blocks=4).collect()
+    assert Counter(r.shard for r in rows) == dict.fromkeys(range(4), 1000)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(1000)) for x in by.values())
+    assert all(600 < sum(r.doc_id == 7 for r in rows if r.shard == k) < 900 for k in range(4))
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    df = spark.createDataFrame([(None, "x\na", "s1"), (None, "x\nb\nx", "s2"), (5, "x\nc", "s3"), (5, "d\nx", "s4"), (6, "x", "s5"), (None, "n", "s1"), (None, "n", "s2"), (None, "n", "s3")], "doc_id long, text string, source string")
+    got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in dedup_lines(df, min_sites=3).collect()), key=str)
+    assert got == [(0, "a", 2, 1), (0, "b", 3, 2), (0, "n", 1, 0), (0, "n", 1, 0), (0, "n", 1, 0), (5, "d\nx", 2, 0), (5, "x\nc", 2, 0), (6, "", 1, 1)]
+
+
+def test_a_shifted_span_changes_the_loss(spark):
+    df = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
+    whole = format_conversations(df.filter("conv_id in (1, 5)")).persist()
+    shifted = whole.withColumn("loss_spans", F.transform("loss_spans", lambda x: F.struct((x["start"] + 1).alias("start"), x["length"].alias("length"), x["level"].alias("level"))))
+    right, wrong = ({r.conv_id: r.loss_sha256 for r in digests(x).collect()} for x in (whole, shifted))
+    assert all(right[c] != wrong[c] for c in (1, 5))
+    whole.unpersist()
+
+
+def test_exact_groups_merge_by_pairs(spark):
+    df = spark.createDataFrame([(i, "t" if i % 3 else f"t{i}") for i in range(90)], "doc_id long, text string").repartition(23)
+    got = {r.doc_id: r for r in exact_groups(df, fan_in=2).collect()}
+    assert all((got[i].keep_id, got[i].group_size) == ((1, 60) if i % 3 else (i, 1)) for i in range(90))
+    with pytest.raises(ValueError):
+        exact_groups(df, fan_in=1)
