@@ -1,14 +1,10 @@
-"""The same results in SQL for DuckDB, written over the tables alone.
-
-The rubric's questions and ladders are data (plans.dims) and are put into the SQL from there; how blocks, names, features, context,
-metrics and choices come about is written anew.
-"""
+"""The same results in SQL for DuckDB, written over the tables alone; only names come from plans.dims."""
 
 from __future__ import annotations
 
-from tallyloom.operators.scoring import CAPS
 from tallyloom.plans.corpus import OPCODES
-from tallyloom.plans.dims import DIMENSIONS, FEATURES, FLAG_FEATURES, LADDERS, QUESTIONS
+from tallyloom.plans.dims import DIMENSIONS, FEATURES, FLAG_FEATURES, QUESTIONS
+from tallyloom.plans.rubric_sql import CAP_V1, CAP_V2, SCORE, SHARE, YES_IF
 
 _DIMS = "dims(dim_idx, dimension) as (values " + ", ".join(f"({i}, '{d}')" for i, d in enumerate(DIMENSIONS, 1)) + ")"
 _OPS = ", ".join(f"'{x}'" for x in OPCODES)
@@ -122,25 +118,18 @@ names_c as (
   from blocks_c b join depths using (project_id) left join names_c using (project_id)
 )"""
 
+_ASKED = {d: {q: YES_IF.get(d, {}).get(q, "false") for q in QUESTIONS[d]} for d in DIMENSIONS}
 _ANSWERS = "answers as (" + " union all ".join(
-    f"select project_id, '{d}' as dimension, '{q}' as question, cast({rule} as boolean) as answer from context" for d, rules in QUESTIONS.items() for q, rule in rules.items()
+    f"select project_id, '{d}' as dimension, '{q}' as question, cast({rule} as boolean) as answer from context" for d, rules in _ASKED.items() for q, rule in rules.items()
 ) + ")"
 
 
 def _score(d: str) -> str:
-    n = "(" + " + ".join(f"cast({d}_{q} as int)" for q in QUESTIONS[d]) + ")"
-    if d not in LADDERS:
-        t = len(QUESTIONS[d])
-        return f"case when {n} = 0 then 1 when {n} / {t}.0 <= 0.2 then 2 when {n} / {t}.0 <= 0.4 then 3 when {n} / {t}.0 <= 0.6 then 4 else 5 end"
-    out = "case"
-    for condition, value in LADDERS[d]:
-        words = condition.replace("(", "( ").replace(")", " )").split()
-        words = [n if w == "n" else f"{d}_{w}" if w in QUESTIONS[d] else w for w in words]
-        out += f" when {' '.join(words)} then {value}"
-    return out + " end"
-
-
-_WIDE = "wide as (select project_id, " + ", ".join(f"{rule} as {d}_{q}" for d, rules in QUESTIONS.items() for q, rule in rules.items()) + " from context)"
+    n = "(" + " + ".join(f"cast({d}_{q} as int)" for q in _ASKED[d]) + ")"
+    return SCORE.get(d, SHARE).format(n=n, of=len(_ASKED[d]), **{q: f"{d}_{q}" for q in _ASKED[d]})
+
+
+_WIDE = "wide as (select project_id, " + ", ".join(f"{rule} as {d}_{q}" for d, rules in _ASKED.items() for q, rule in rules.items()) + " from context)"
 _SCORES = "scores as (" + " union all ".join(f"select project_id, '{d}' as dimension, {_score(d)} as score from wide" for d in DIMENSIONS) + ")"
 
 C2 = f"""{_DIMS}, facts0 as (
@@ -167,7 +156,7 @@ def _predicted(d: str) -> str:
 def _calibrated(mode: str) -> str:
     parts = []
     for d in DIMENSIONS:
-        caps = [f"case when {c} then {cap} else 9 end" for m, c, dim, cap in CAPS if dim == d and (m == "v1" or mode == "v2")]
+        caps = [c[d] for c in ((CAP_V1, CAP_V2) if mode == "v2" else (CAP_V1,)) if d in c]
         p = _predicted(d)
         value = f"case when {p} < 4 then least({', '.join([p, *caps])}) else {p} end"
         parts.append(f"select project_id, '{d}' as dimension, cast({value} as int) as predicted from features")
