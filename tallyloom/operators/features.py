@@ -149,15 +149,17 @@ def project_context(p: Projects) -> DataFrame:
     handler = starts("event_when")
     spoken = F.lower(F.trim("broadcast_name"))
     descriptive = (spoken != "") & ~spoken.isin(*PLAIN_BROADCASTS)
+    # Sets of a project's names are small; four distinct counts would repeat every block five times.
+    different = lambda c: F.size(F.collect_set(c)).cast("long")
     blocks = own.groupBy("project_id").agg(
         F.count("*").alias("block_count"),
         F.max("depth").alias("max_control_nesting_depth"),
         *(F.count_if(c).alias(k) for k, c in counts.items()),
         *(_some(c).alias(k) for k, c in flags.items()),
-        F.count_distinct(F.when(handler, F.col("opcode"))).alias("event_type_count"),
-        F.count_distinct(F.when(handler, F.nullif("target_name", F.lit("")))).alias("handler_count"),
-        F.count_distinct("broadcast_name").alias("broadcast_name_count"),
-        F.count_distinct(F.when(descriptive, F.col("broadcast_name"))).alias("descriptive_broadcast_count"),
+        different(F.when(handler, F.col("opcode"))).alias("event_type_count"),
+        different(F.when(handler, F.nullif("target_name", F.lit("")))).alias("handler_count"),
+        different(F.col("broadcast_name")).alias("broadcast_name_count"),
+        different(F.when(descriptive, F.col("broadcast_name"))).alias("descriptive_broadcast_count"),
         _some(F.col("cyclic")).alias("cyclic"),
     )
     target = F.lower("target_name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.sources.lineage import cut
+from tallyloom.sources.lineage import cut_counting
 
 CONTROL = ("control_repeat", "control_forever", "control_if")
 ROUNDS = 20
@@ -23,8 +23,8 @@ def control_depth(blocks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """blocks with depth (control blocks among all its ancestors), nested (it and its direct parent are control), cyclic.
 
     A parent counts only if it stands on the same target. Every round doubles how far a block's pointer reaches and
-    adds up what it passes, so a chain of n takes log2(n) rounds; each round is one self-join by block, cut to
-    the shared folder. Chains that still go on after 2**rounds steps are cycles: their rows are marked, and their depth is
+    adds up what it passes, so a chain of n takes log2(n) rounds; each round is one join of the blocks that are still on their
+    way with all of them, cut to the shared folder. Chains that still go on after 2**rounds steps are cycles: their rows are marked, and their depth is
     what was counted on the way round.
     """
     parents = blocks.select(*_KEY, _control("opcode").alias("control"))
@@ -35,17 +35,20 @@ def control_depth(blocks: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         F.coalesce(F.col("parent_control").cast("int"), F.lit(0)).cast("long").alias("depth"),
         (_control("opcode") & F.coalesce("parent_control", F.lit(False))).alias("nested"),
     )
-    whole = cut(first)
+    whole, left = cut_counting(first, "to is not null")
     state = whole.select(*_KEY, "to", "depth")
+    done = state.filter("to is null")
     for _ in range(rounds):
-        if state.filter("to is not null").isEmpty():
+        if not left:
             break
         ahead = state.select("project_id", "target_idx", F.col("block_id").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"))
-        state = cut(
-            state.join(ahead, ["project_id", "target_idx", "to"], "left").select(
-                *_KEY, F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")
-            )
+        going, left = cut_counting(
+            state.filter("to is not null")
+            .join(ahead, ["project_id", "target_idx", "to"], "left")
+            .select(*_KEY, F.col("next").alias("to"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")),
+            "to is not null",
         )
+        state, done = done.union(going), done.union(going.filter("to is null"))
     return whole.drop("to", "depth").join(state, _KEY).select(
         *blocks.columns, "depth", "nested", F.col("to").isNotNull().alias("cyclic")
     )

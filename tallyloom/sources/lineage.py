@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +27,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_counting(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """cut(), and how many rows meet the condition, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return out, seen.get["n"]
