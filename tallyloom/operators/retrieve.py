@@ -5,13 +5,14 @@ Records have pos (their order, from 0), id, the columns of project_features() an
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.scoring import complexity_band
 from tallyloom.plans.dims import DIMENSIONS, FEATURES, FLAG_FEATURES, NUMERIC_FEATURES
+from tallyloom.sources.lineage import cut
 
 SALTS = 16
 # Fixed values: (flags, weight of each, numbers, weight of each).
@@ -115,18 +116,17 @@ def mmr_examples(records: DataFrame, tests: DataFrame, k: int) -> DataFrame:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
-        grades = [[0 if g is None else g for g in (x if x is not None else [])] or [0] * len(DIMENSIONS) for x in pdf["grades"]]
-        graded = [x is not None and len(x) > 0 for x in pdf["grades"]]
-        ws, wd = pdf["similarity_weight"].iloc[0], pdf["diversity_weight"].iloc[0]
-        left, chosen = list(range(len(pdf))), []
-        while left and len(chosen) < k:
-            def value(i: int) -> float:
-                near = min((sum(abs(a - b) for a, b in zip(grades[i], grades[j], strict=True)) / len(DIMENSIONS) for j in chosen), default=0.0)
-                return ws * pdf["similarity"].iloc[i] + wd * (near if graded[i] else 0.0)
-
-            best = max(left, key=lambda i: (value(i), -i))
+        given = [[0 if g is None else g for g in (x if x is not None else [])] for x in pdf["grades"]]
+        graded = np.array([len(x) > 0 for x in given])
+        grades = np.array([x or [0] * len(DIMENSIONS) for x in given])
+        alike = pdf["similarity_weight"].iloc[0] * pdf["similarity"].to_numpy()
+        far, free, chosen = np.full(len(pdf), np.inf), np.ones(len(pdf), dtype=bool), []
+        for _ in range(min(k, len(pdf))):
+            new = np.where(graded & np.isfinite(far), far, 0.0)
+            best = int(np.argmax(np.where(free, alike + pdf["diversity_weight"].iloc[0] * new, -np.inf)))  # the first of equals
             chosen.append(best)
-            left.remove(best)
+            free[best] = False
+            far = np.minimum(far, np.abs(grades - grades[best]).sum(axis=1) / len(DIMENSIONS))
         out = pdf.loc[chosen, ["test_pos", "test_id", "pos", "id", "similarity"]].copy()
         out.insert(2, "rank", range(1, len(chosen) + 1))
         return out
@@ -145,6 +145,13 @@ def first_examples(records: DataFrame, tests: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("test_pos", "test_id", "rank", "pos", "id")
 
 
+def with_similarity(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """pairs (test_pos, pos, ...) with how alike their two records are: as many comparisons as there are pairs."""
+    own = F.struct(*FEATURES)
+    a, b = records.select(F.col("pos").alias("test_pos"), own.alias("a")), records.select("pos", own.alias("b"))
+    return pairs.join(a, "test_pos").join(b, "pos").withColumn("similarity", similarity()).drop("a", "b")
+
+
 def blend(predictions: DataFrame, examples: DataFrame, records: DataFrame, weight: float) -> DataFrame:
     """(test_pos, dimension, predicted): predictions pulled toward the examples' grades, weighted by how alike they are.
 
@@ -174,8 +181,9 @@ def balanced_examples(records: DataFrame, k: int = 15) -> DataFrame:
     A set is worth the pairs that it covers and 100 more for every dimension with exactly five different grades. Each round is one
     aggregation over the records; the driver holds the covered pairs, a few for each dimension.
     """
-    if records.count() <= k:
+    if records.limit(k + 1).count() <= k:
         return records.orderBy("pos")
+    graded = cut(records.select("pos", "grades"))  # read k times
     covered: list[set[int]] = [set() for _ in DIMENSIONS]
     chosen: list[int] = []
     for _ in range(k):
@@ -185,7 +193,7 @@ def balanced_examples(records: DataFrame, k: int = 15) -> DataFrame:
             new = g.isNotNull() & ~g.isin(*have) if have else g.isNotNull()
             size = F.lit(len(have)) + F.when(new, 1).otherwise(0)
             worth = worth + size + F.when(size == 5, 100).otherwise(0)
-        best = records.filter(~F.col("pos").isin(*chosen)) if chosen else records
+        best = graded.filter(~F.col("pos").isin(*chosen)) if chosen else graded
         row = best.agg(F.max_by(F.struct("pos", "grades"), F.struct(worth.alias("w"), -F.col("pos"))).alias("r")).first().r
         chosen.append(row.pos)
         for have, g in zip(covered, row.grades or [], strict=False):

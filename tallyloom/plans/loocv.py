@@ -83,8 +83,7 @@ def leave_one_out(records: DataFrame, settings: Settings = Settings()) -> DataFr
         examples = retrieve.mmr_examples(records, records, k)
     else:
         first = retrieve.first_examples(records, records, k)
-        similar = retrieve.candidates(records, records).select("test_pos", "pos", "similarity") if settings.blend_weight > 0 else None
-        examples = first.join(similar, ["test_pos", "pos"]) if similar is not None else first.withColumn("similarity", F.lit(0.0))
+        examples = retrieve.with_similarity(first, records) if settings.blend_weight > 0 else first.withColumn("similarity", F.lit(0.0))
     examples = cut(examples.select("test_pos", "rank", "pos", "similarity"))
     shown = (
         examples.join(records.select("pos", own, "grades"), "pos")

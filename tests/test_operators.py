@@ -215,3 +215,83 @@ def test_stream_equals_batch(spark, tmp_path):
         assert sorted(map(str, spark.table("windowed").collect())) == sorted(map(str, windowed_features(rows).collect()))
     finally:
         q.stop()
+
+
+def raw_projects(spark):
+    block = {"a": {"opcode": "event_whenflagclicked", "parent": None}, "b": {"opcode": "control_repeat", "parent": "a"}}
+    rows = [(7, json.dumps({"targets": [{"isStage": False, "name": "Cat", "blocks": block}]})), (8, '{"targets": []}'), (9, "{}"), (10, None)]
+    return spark.createDataFrame(rows, "project_id long, json string")
+
+
+def test_enrich_gives_a_record_for_each_row_in_order(spark):
+    rows = [(8, None, "2"), (None, "https://x/projects/7/", "3"), (9, None, "1"), (10, None, "1"), (99, None, "1"), (None, None, "1"), (7, None, None), (7, "https://x/projects/8", "5.9")]
+    sheet = spark.createDataFrame(rows, "ID long, URL string, `1.Decomp` string")
+    got = loocv.enrich(sheet, raw_projects(spark)).orderBy("pos").collect()
+    assert [(r.pos, r.id, r.grades[0], r.block_count) for r in got] == [(0, 8, 2, 0), (1, 7, 3, 2), (2, 7, 0, 2), (3, 8, 5, 0)]
+    assert got[1].uses_loops and got[1].model_scores.loops == 2 and all(sum(r.grades[1:]) == 0 for r in got)
+    one = ev.summary(loocv.stored_facts(loocv.enrich(sheet, raw_projects(spark)))).first()
+    assert (one.num_samples, one.num_dimensions) == (4, 20)
+
+
+def test_the_first_records_make_a_prompt(spark):
+    rows = records(5)
+    df = frame(spark, rows)
+    two = prompt.of_records(df, 2).first()
+    assert two.id == rows[2][1] and "Example 2:" in two.prompt and "Example 3:" not in two.prompt
+    assert prompt.of_records(df, 9, "hybrid").first().id == rows[4][1]
+    for bad in (df.limit(1), df.limit(0)):
+        with pytest.raises(ValueError):
+            prompt.of_records(bad, 2)
+
+
+def test_server_answers(spark):
+    texts = ['```json\n{"a": "x", "b": [1]}\n```', "  no json \n", "", None, "[1] {", '{"c": null}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.a and json.loads(r.a) for r in df.select("k", parse.server_answer(F.col("t")).alias("a")).collect()}
+    assert got == {0: {"a": "x", "b": [1]}, 1: {"raw_response": "no json"}, 2: None, 3: None, 4: {"raw_response": "[1] {"}, 5: {"c": None}}
+
+
+def test_a_request_is_fetched_prompted_and_graded(spark, tmp_path):
+    from tallyloom.plans.grading import Grader
+
+    asked = []
+
+    def get(url, timeout):
+        return "application/json", '{"project_token": "t"}' if "token" not in url else '{"targets": [{"name": "Cat"}]}'
+
+    def said(model, request):
+        return lambda prompts: asked.append((model, prompts)) or [request.get("say", 'Sure: {"loops": 3}')]
+
+    grade = Grader(frame(spark, records(4)), "m", "p", f"{tmp_path}/prompt.txt", {"stub": said}, "stub", get)
+    status, answer = service.respond('{"url": "https://x/projects/5", "prompt_style": "question_based", "model": "big"}', grade)
+    assert status == 200 and answer["grades"] == {"loops": 3} and asked[0][0] == "big"
+    text = open(answer["prompt_path"], encoding="utf-8").read()
+    assert text == asked[0][1][0] and text.startswith("QUESTION GUIDE") and "Example 3:" in text and "  sprite_count: 1" in text.split("Now grade")[1]
+    assert service.respond('{"url": "https://x/projects/5", "say": "hm"}', grade)[1]["grades"] == {"raw_response": "hm"}
+    assert service.respond('{"url": "https://x/projects/5", "say": ""}', grade)[1]["grades"] is None
+    assert service.respond('{"url": "https://x/y"}', grade)[0] == 500 and service.respond('{"url": "https://x/projects/5", "provider": "none"}', grade)[0] == 500
+
+
+def test_a_local_model_says_what_it_lacks():
+    try:
+        import torch  # noqa: F401
+        import transformers  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="torch"):
+            provider.local_provider("some/model")()
+
+
+def test_the_last_of_repeated_projects_is_written(spark, tmp_path):
+    from tallyloom.sources.files import write_stages
+
+    df = spark.createDataFrame([(1, "old"), (2, "one"), (1, "new")], "project_id long, v string").coalesce(1)
+    paths = write_stages(df, df, df, str(tmp_path))
+    assert {(r.project_id, r.v) for r in spark.read.parquet(paths["raw_projects_path"]).collect()} == {(1, "new"), (2, "one")}
+
+
+def test_json_depth_has_no_cap(spark):
+    from tallyloom.operators.features import json_depth
+
+    texts = ["[" * 500 + "]" * 500, '{"a": "' + "x" * 100_000 + '\\\\"}', "", '"["', '[{"a": []}, []]']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.d for r in df.select(json_depth(F.col("t")).alias("d")).collect()] == [500, 1, 0, 0, 3]
