@@ -278,6 +278,8 @@ from t where json_type(v) in ('BOOLEAN', 'BIGINT', 'UBIGINT', 'DOUBLE')""",
   select conv_id, turn, (conv_id + turn) % 5 as c from conversations
 )
 select conv_id, turn, case c when 2 then 'no_json_found' when 4 then 'no_json_found' end as error,
+  case c when 0 then '{"loops":' || (turn % 6) || ',"math":2.9}' when 1 then '{"lists":4,"loops":' || (turn % 6) || '}'
+    when 3 then '{"lists":' || (turn % 6) || ',"loops":"g","math":true}' end as json,
   case c when 0 then cast(turn % 6 as varchar) when 1 then cast(turn % 6 as varchar) when 3 then 'g' end as loops
 from a""",
     "response_confidence": """select conv_id, turn, case turn % 4

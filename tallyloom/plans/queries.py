@@ -221,7 +221,7 @@ def response_grades(spark, sf):
 
 def response_sanitized(spark, sf):
     r = corpus.responses(spark, sf).select("conv_id", "turn", parse.sanitize(F.col("response")).alias("s"))
-    return r.select("conv_id", "turn", "s.error", F.get_json_object("s.json", "$.loops").alias("loops"))
+    return r.select("conv_id", "turn", "s.error", "s.json", F.get_json_object("s.json", "$.loops").alias("loops"))
 
 
 def response_confidence(spark, sf):
