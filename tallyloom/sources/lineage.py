@@ -33,4 +33,4 @@ def cut_counting(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
     """cut(), and how many rows meet the condition, counted as they are written."""
     seen = Observation()
     out = cut(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
-    return out, seen.get["n"]
+    return out, seen.get.get("n", 0)  # nothing is seen of what is known to be empty
