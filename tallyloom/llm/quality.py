@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, enter, memo, small_batches, without
+from .shared import cut, discard, enter, memo, small_batches, without
 
 SAMPLE = 20_000
 BITS = 18
@@ -149,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*(batch.column(t) for t in TARGETS), *held], [*TARGETS, "f0", "f1"])
 
     matrix = rows.mapInArrow(hold, "quality int, toxic int, f0 binary, f1 binary").collect()  # `sample` rows at most
+    discard(rows)
     weights, offset, base = np.zeros((2, 1 << BITS), dtype=np.float32), [], []
     for k, t in enumerate(TARGETS):
         base.append(math.log((n[2 * k + 1] + ALPHA) / (n[2 * k] + ALPHA)))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.lineage import shared_dir
+
 MAX_ROUNDS = 64
 BITMAP_BITS = 26
 
@@ -53,21 +54,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only a local session, where every task runs in this one process, may fall back to a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it back.
 
@@ -82,11 +68,12 @@ def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes what cut() wrote for df, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*cuts: DataFrame) -> None:
+    """Deletes what cut() wrote for each of them, once nothing reads it any more: no result may hang on it unwritten."""
+    for df in cuts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -145,14 +132,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternating star contraction: the large star ties each larger neighbour of a node to the least
     of its neighbourhood, the small star does so with the smaller ones; after few rounds every component is
     one star around its smallest node. Each round is two aggregations and two joins over the edges and ends in a
-    cut; nothing but one pair of checksums reaches the driver. Joins, not windows, carry the least neighbour
+    cut; nothing but a count and a checksum, taken as it is written, reaches the driver. Joins, not windows, carry the least neighbour
     back, so that AQE can split the partition of a node with very many edges.
     """
-    now = cut(
-        edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo < hi").distinct()
-    )
-    last = None
-    for _ in range(MAX_ROUNDS):
+
+    def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = cut(edges.observe(seen, F.count("*").alias("c"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")))
+        return out, (seen.get.get("c", 0), seen.get.get("s"))
+
+    now, last = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo < hi").distinct())
+    for _ in range(MAX_ROUNDS if last[0] else 0):
         both = now.select(F.col("lo").alias("n"), F.col("hi").alias("m")).union(
             now.select(F.col("hi").alias("n"), F.col("lo").alias("m"))
         )
@@ -168,15 +158,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .filter("lo < hi")
             .distinct()
         )
-        after = cut(small)
+        after, state = written(small)
         discard(now)
         now = after
-        state = now.agg(F.count("*").alias("c"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")).first()
         if last == state:
             break
         last = state
     else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        if last[0]:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
         now.select("lo", "lo").distinct()
     )
