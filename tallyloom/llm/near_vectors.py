@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut
+from .shared import connected_components, cut, discard
 
 PREFIX = 8
 SHARED = 2
@@ -38,6 +39,11 @@ def angle(cosine: np.ndarray | float) -> np.ndarray:
     return np.arccos(np.clip(cosine, -1, 1))
 
 
+def matrix(vectors: pa.Array, d: int) -> np.ndarray:
+    """Lists of d numbers each, as rows in double precision."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
 def spaced(pivots: np.ndarray, threshold: float) -> np.ndarray:
     """The unit vectors of pivots, in order, that lie at least twice the threshold's angle from those taken before."""
     near = np.cos(min(2 * angle(threshold), np.pi))
@@ -107,13 +113,15 @@ def near_groups(
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
-    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
+    # Floats stay floats on disk and in shuffles, which loses nothing: what is computed from them is in double precision.
+    real = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast(real))
     sound = F.coalesce(
         F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
     rows = cut(
         vectors.select(F.col(f"`{id_col}`").alias("id"), sound.alias("sound"), F.when(sound, v).alias("v")).select(
-            "id", "sound", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"), F.monotonically_increasing_id().alias("row")
+            "id", "sound", F.transform("v", lambda x: x + F.lit(0.0).cast(real)).alias("v"), F.monotonically_increasing_id().alias("row")
         )
     )
     copies = cut(
@@ -121,30 +129,32 @@ def near_groups(
     )
     n = copies.count()
     k = min(most_pivots, pivots_for(n))
-    sample = copies.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(k).collect()
-    dims = {len(r.v) for r in sample}
-    unit = {d: np.array([r.v for r in sample if len(r.v) == d]) for d in dims}
+    # By Arrow: as numbers in arrays, not as Python objects.
+    sample = copies.select("v", F.xxhash64("v").alias("h")).orderBy("h", "v").limit(k).select("v").toArrow().column("v").combine_chunks()
+    length = pc.list_value_length(sample)
+    unit = {d: matrix(sample.filter(pc.equal(length, d)), d) for d in pc.unique(length).to_pylist()}
     pivots = spark.sparkContext.broadcast({d: spaced(x / np.linalg.norm(x, axis=1, keepdims=True), threshold) for d, x in unit.items()})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("v").to_pylist()
-            named = [[] for _ in lists]
-            for d in {len(x) for x in lists}:
-                own = [i for i, x in enumerate(lists) if len(x) == d]
-                x = np.array([lists[i] for i in own])
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                # Vectors of a length that the sample lacks are compared under one list of their own.
-                alone = [-d, *[NONE] * (prefix - 1)]
-                found = nearest(x, pivots.value[d], prefix, threshold) if d in pivots.value else np.full((len(own), prefix), alone, np.int32)
-                for i, row in zip(own, found.tolist(), strict=True):
-                    named[i] = row
+            own = batch.column("v")
+            length = pc.list_value_length(own).to_numpy(zero_copy_only=False)
+            named = np.empty((len(own), prefix), dtype=np.int32)
+            for d in np.unique(length).tolist():
+                some = np.flatnonzero(length == d)
+                if d in pivots.value:
+                    x = matrix(own.take(pa.array(some)), d)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    named[some] = nearest(x, pivots.value[d], prefix, threshold)
+                else:  # vectors of a length that the sample lacks are compared under one list of their own
+                    named[some] = [-d, *[NONE] * (prefix - 1)]
+            named = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * prefix, pa.int32()), pa.array(named.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("weight"), batch.column("v"), pa.array(named, pa.list_(pa.int32()))], ["node", "weight", "v", "named"]
+                [batch.column("node"), batch.column("weight"), own, named], ["node", "weight", "v", "named"]
             )
 
     described = cut(
-        copies.select("node", "weight", "v").mapInArrow(describe, "node long, weight long, v array<double>, named array<int>")
+        copies.select("node", "weight", "v").mapInArrow(describe, f"node long, weight long, v array<{real}>, named array<int>")
     )
     listed = described.select("node", "weight", "v", "named", F.explode("named").alias("pivot"), F.size("v").alias("d")).filter(f"pivot <> {NONE}")
     blocks = listed.groupBy("pivot", "d").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("blocks"))
@@ -159,7 +169,7 @@ def near_groups(
         held = pa.Table.from_batches(batches)
         pivot, d, i, j = (x.as_py() for x in key)
         node, weight = held.column("node").to_numpy(), held.column("weight").to_numpy()
-        x = held.column("v").combine_chunks().flatten().to_numpy().reshape(-1, d).copy()
+        x = matrix(held.column("v").combine_chunks(), d)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         named = held.column("named").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         first = held.column("block").to_numpy() == i
@@ -187,6 +197,7 @@ def near_groups(
         )
 
     found = cut(placed.groupBy("pivot", "d", "i", "j").applyInArrow(search, "a long, b long, links long"))
+    discard(described)
     links = found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     component = connected_components(found.filter("b is not null"))
     whole = copies.join(links, "node", "left").join(component, "node", "left").select(
@@ -195,7 +206,7 @@ def near_groups(
     least = whole.groupBy("component").agg(F.min("id").alias("component_id"))
     named = whole.join(least, "component").select("v", "component_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     # Rows without a sound vector get a key of their own, so that they don't meet in one task.
-    alone = F.when(F.col("sound"), F.col("v")).otherwise(F.array(F.lit(float("nan")), F.col("row").cast("double")))
+    alone = F.when(F.col("sound"), F.col("v")).otherwise(F.array(F.lit(float("nan")).cast(real), *(F.expr(f"cast({x} as {real})") for x in ("row & 16777215", "row >> 24"))))
     return (
         rows.withColumn("v", alone)
         .join(named, "v", "left")
