@@ -8,8 +8,9 @@ A uniform shuffle into shards of exact sizes, without a global sort:
 3. each block permutes its rows by a keyed hash and cuts the permutation by its row of the matrix;
 4. rows are exchanged by (shard, bucket), where the bucket is a second keyed hash, and permuted again there.
 
-The driver holds blocks x shards counts, about one per BLOCK_ROWS / shards rows, never a row. No task holds more
-than a block or a bucket, neither of which depends on any one value of a column.
+The driver holds blocks x shards counts, about one per BLOCK_ROWS / shards rows or BLOCK_BYTES / shards of text, never a row. No task
+holds more than a block or a bucket, neither of which depends on any one value of a column: rows that are equal in every column and
+would fill a good part of a block are dealt out by their place in the table instead.
 """
 
 from __future__ import annotations
@@ -21,32 +22,44 @@ from pyspark.sql import functions as F
 from .shared import cut, free_name
 
 BLOCK_ROWS = 250_000
+BLOCK_BYTES = 256_000_000
 LEAST_BLOCKS = 64
+#: So many equal rows to a block may share it by their hash.
+EQUAL_SHARE = 16
 
 
 def shard_rows(
-    df: DataFrame, shards: int = 16, seed: int = 17, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS
+    df: DataFrame, shards: int = 16, seed: int = 17, block_rows: int = BLOCK_ROWS, least_blocks: int = LEAST_BLOCKS, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """df with shard (int, 0 to shards - 1) and slot (long, 0, 1, ... in each shard).
 
     Shard sizes differ by one row at most; with fewer rows than shards, some shards get none. Same rows, seed and
-    parameters give the same shards on any cluster. Nulls count as values; rows equal in every column can change
-    places without anything to see. An empty table gives an empty result. Columns of df named shard or slot stay,
+    parameters give the same shards on any cluster, unless a row occurs over block_rows / EQUAL_SHARE times, when they depend
+    on how the table is partitioned. Nulls count as values; rows equal in every column can change places without
+    anything to see. An empty table gives an empty result. Columns of df named shard or slot stay,
     and the new ones get a leading underscore.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     block, bucket, rank, draw = (free_name(df, f"__{x}") for x in ("block", "bucket", "rank", "draw"))
+    place, often = free_name(df, "__place"), free_name(df, "__often")
     shard, slot = free_name(df, "shard"), free_name(df, "slot")
     spark, columns = df.sparkSession, [F.col(f"`{c}`") for c in df.columns]
     text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("")
     keyed = lambda k: F.xxhash64(F.lit(seed), F.lit(k), text)
-    rows = cut(df.select("*", keyed(0).alias(draw)), "zstd")  # whole rows, written once and read thrice
-    total = rows.count()
-    blocks = max(least_blocks, -(-total // block_rows))
-    buckets = max(-(-least_blocks * 2 // shards), -(-total // (shards * block_rows)), 1)
+    rows = cut(df.select("*", keyed(0).alias(draw), F.monotonically_increasing_id().alias(place)), "zstd")  # whole rows, written once and read often
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    total, held = rows.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(8 * len(df.columns))).cast("long")), F.lit(0))).first()
+    blocks = max(least_blocks, -(-total // block_rows), -(-held // block_bytes))
+    buckets = max(-(-least_blocks * 2 // shards), -(-total // (shards * block_rows)), -(-held // (shards * block_bytes)), 1)
     order = [F.col(draw), *columns]
-    rows = rows.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), F.lit(1), draw), F.lit(blocks)).cast("int"))
+    equal = rows.groupBy(draw).count().filter(F.col("count") > block_rows // EQUAL_SHARE).select(draw).collect()  # EQUAL_SHARE a block at most
+    if equal:
+        equal = spark.createDataFrame(equal, f"`{draw}` long").withColumn(often, F.lit(True))
+        rows = rows.join(F.broadcast(equal), draw, "left").withColumn(place, F.when(F.col(often), F.col(place))).drop(often)
+    else:
+        rows = rows.withColumn(place, F.lit(None).cast("long"))
+    rows = rows.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), F.lit(1), draw, place), F.lit(blocks)).cast("int"))
     counts = {r[0]: r[1] for r in rows.groupBy(block).count().collect()}  # bounded: one row a block
 
     free = np.array([total // shards + (k < total % shards) for k in range(shards)], dtype=np.int64)
@@ -58,15 +71,15 @@ def shard_rows(
         matrix.append((b, [int(x) for x in np.cumsum(taken)]))
     ends = spark.createDataFrame(matrix, f"`{block}` int, ends array<long>")
 
-    first = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed), F.lit(2), draw), *order)
+    first = Window.partitionBy(block).orderBy(F.xxhash64(F.lit(seed), F.lit(2), draw, place), *order)
     dealt = (
         rows.withColumn(rank, F.row_number().over(first))
         .join(ends, block)
         .withColumn(shard, F.expr(f"cast(size(filter(ends, x -> x < `{rank}`)) as int)"))
         .drop("ends", rank, block)
-        .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.lit(3), draw), F.lit(buckets)).cast("int"))
+        .withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.lit(3), draw, place), F.lit(buckets)).cast("int"))
     )
-    again = Window.partitionBy(shard, bucket).orderBy(F.xxhash64(F.lit(seed), F.lit(4), draw), *order)
+    again = Window.partitionBy(shard, bucket).orderBy(F.xxhash64(F.lit(seed), F.lit(4), draw, place), *order)
     starts = (
         dealt.groupBy(shard, bucket)
         .count()
