@@ -2,7 +2,7 @@
 
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -110,6 +110,37 @@ def test_search_block_reports_what_connects():
         assert components(nodes.tolist(), found) == components(nodes.tolist(), all_links)
 
 
+def test_heap_merge_finds_what_occurs_often_enough():
+    rnd = random.Random(7)
+    for _ in range(200):
+        runs = [sorted(rnd.sample(range(30), rnd.randint(0, 20))) for _ in range(rnd.randint(1, 9))]
+        for need in (1, 2, 3, 5):
+            times = Counter(x for run in runs for x in run)
+            assert ngram_join.often_enough(runs, need) == sorted(x for x, n in times.items() if n >= need)
+
+
+def test_search_block_passes_over_what_is_connected_already():
+    sets = [np.arange(k, 40 + k, dtype=np.uint64) for k in range(6)]
+    nodes, every = np.arange(6), np.ones(6, bool)
+    assert search_block(nodes, sets, every, True, 80, np.zeros(6, dtype=np.int64)) == []
+    two = search_block(nodes, sets, every, True, 80, np.array([0, 0, 0, 3, 3, 3]))
+    assert len(two) == 1 and two[0][0] < 3 <= two[0][1]
+
+
+def test_families_of_many_blocks(spark, monkeypatch):
+    """Two large groups and many lone sets that one passage ties to them; sizes of several bands."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rnd = random.Random(12)
+    words = [f"v{i}" for i in range(500)]
+    passage = " ".join(rnd.choice(words) for _ in range(40))
+    texts = [passage + " " + t for k in (0, 1) for t in family(rnd, words, 60, 5)]
+    texts += [passage + " " + " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    texts += [passage + " " + " ".join(rnd.choice(words) for _ in range(rnd.randint(40, 400))) for _ in range(40)]
+    rnd.shuffle(texts)
+    got = {r.doc_id: r.component_id for r in jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == groups_of(texts, 5, 80)[1]
+
+
 def test_components_of_chains_stars_and_rings(spark):
     rnd = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(200 + i, 200 + (i + 1) % 30) for i in range(30)]
@@ -172,6 +203,31 @@ def test_vectors_of_a_dense_group_keep_their_links(spark):
     assert {got[i].component_id for i in range(1500)} == {0}
 
 
+def test_recall_of_the_index_with_its_own_parameters():
+    """50,000 vectors, half of them in groups of 2 to 5,000; a group's links against what the index lets be compared."""
+    from tallyloom.llm import near_vectors as nv
+
+    rng = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [5000, 4000, *[500] * 10, *[50] * 100, *[5] * 800, *[2] * 1000]
+    parts = [unit(np.sqrt(c) * unit(rng.normal(size=(1, 64))) + np.sqrt(1 - c) * unit(rng.normal(size=(n, 64)))) for n, c in zip(sizes, rng.uniform(0.94, 0.99, len(sizes)), strict=True)]
+    x = np.vstack([*parts, unit(rng.normal(size=(50_000 - sum(sizes), 64)))])
+    sample = x[rng.permutation(len(x))[: nv.pivots_for(len(x))]]
+    named = nv.nearest(x, nv.spaced(sample, nv.THRESHOLD), nv.PREFIX)
+    settled, links, found = named[:, -1] == nv.NONE, 0, 0
+    for at, n in zip(np.cumsum([0, *sizes]), sizes, strict=False):
+        own, names = x[at : at + n], named[at : at + n]
+        for lo in range(0, n, 250):
+            i, j = np.nonzero(own[lo : lo + 250] @ own.T >= nv.THRESHOLD)
+            i, j = (i + lo)[i + lo < j], j[i + lo < j]
+            links += len(i)
+            for k in range(0, len(i), 1 << 16):
+                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                both = ((names[a][:, :, None] == names[b][:, None, :]) & (names[a] != nv.NONE)[:, :, None]).any(axis=2).sum(axis=1)
+                found += int(((both >= nv.SHARED) | ((both >= 1) & (settled[at + a] | settled[at + b]))).sum())
+    assert links > 1_000_000 and found >= 0.9 * links
+
+
 def test_vectors_without_ids_and_no_rows(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.01]), (None, None)], "vec_id long, embedding array<float>")
     rows = near_groups(df).collect()
