@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, free_name, text_or_empty
+from .shared import cut, discard, free_name, text_or_empty
 
 MIN_SITES = 10
 LG_K = 12
@@ -25,16 +25,18 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2"))
 
 
-def boilerplate_lines(occurrences: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def boilerplate_lines(occurrences: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, made: list[DataFrame] | None = None) -> DataFrame:
     """(h1, h2, first_id) of every line in (id, site, h1, h2) that at least min_sites distinct sites hold.
 
-    A null site counts as none. first_id is the smallest id, null if all are null.
+    A null site counts as none. first_id is the smallest id, null if all are null. made gets the table that was cut on the way.
     """
     error = ERRORS * 1.04 / math.sqrt(2**lg_k)
     spread = occurrences.groupBy("h1", "h2").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.min("id").alias("first_id")
     )
     spread = cut(spread.filter(F.col("sites") >= math.floor(min_sites * (1 - error))))
+    if made is not None:
+        made.append(spread)
     sure = spread.filter(F.col("sites") > math.ceil(min_sites * (1 + error))).select("h1", "h2", "first_id")
     near = spread.filter(F.col("sites") <= math.ceil(min_sites * (1 + error))).select("h1", "h2", "first_id")
     exact = (
@@ -79,18 +81,20 @@ def dedup_lines(
         .select("row", "id", "site", "at", _key(F.col("line")).alias("k"))
         .select("row", "id", "site", "at", "k.h1", "k.h2")
     )
-    removed = (
-        occurrences.join(boilerplate_lines(occurrences.select("id", "site", "h1", "h2"), min_sites, lg_k), ["h1", "h2"])
+    made = [occurrences]
+    removed = cut(
+        occurrences.join(boilerplate_lines(occurrences.select("id", "site", "h1", "h2"), min_sites, lg_k, made), ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("first_id")))
         .groupBy(F.col("row").alias(row))
         .agg(F.sort_array(F.collect_list("at")).alias(gone))  # no more than one row's lines
     )
+    discard(*made)
     n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
     # What lies between two removed lines stays; each line is copied once.
     ends = F.arrays_zip(F.concat(F.array(F.lit(-1)), F.col(gone)).alias("a"), F.concat(F.col(gone), F.array(F.size(lines))).alias("b"))
     between = F.flatten(F.transform(ends, lambda x: F.slice(F.col(lines), x["a"] + 2, x["b"] - x["a"] - 1)))
     return (
-        rows.join(removed, row, "left")
+        rows.join(removed.hint("merge"), row, "left")  # removed grows with the table: dealt out at any size
         .withColumn(lines, F.split(text, "\n", -1))
         .withColumn(kept, F.when(F.col(gone).isNull(), F.col(lines)).otherwise(between))
         .withColumn(n_lines, F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
