@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import entry_more
 from .bpe import encode_documents
 from .chat import CONTROL, digests, format_conversations
 from .exact_dedup import exact_groups
@@ -163,8 +164,8 @@ select doc_id, keep_id, group_size, kept, text_sha256 from r
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | entry_more.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return ORACLES | entry_more.ORACLES
