@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .repair import damage, repair_conversations, repaired_digest
 from .shared import table
 from .sort_means import CLUSTERS, ROUNDS, SCALE, WIDTH, cluster_vectors
+from .suffix_ranks import remove_repeats
 
 
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +122,11 @@ from (select distinct conv_id from conversations) c left join counted using (con
 """
 
 
-QUERIES = {"op11_centroids": op11_centroids, "op12_repair": op12_repair}
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {"op11_centroids": op11_centroids, "op12_repair": op12_repair, "op13_suffix_array": op13_suffix_array}
 ORACLES = {"op11_centroids": _centroid_sql(), "op12_repair": _repair_sql()}
