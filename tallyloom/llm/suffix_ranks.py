@@ -34,9 +34,9 @@ from .shared import cut, discard, small_batches
 LENGTH = 50
 GRAM = 20
 #: Bytes of text for each range of ranks and each part of the documents, for a flush of a task, and for a piece looked at in one go.
-RANGE_BYTES = 16 << 20
-FLUSH_BYTES = 32 << 20
-PIECE = 1 << 20
+RANGE_BYTES = 12 << 20
+FLUSH_BYTES = 10 << 20
+PIECE = 1 << 17
 #: Windows in a range of the hot ones, and the runs of one rank from which it is hot.
 HOT_WINDOWS = 2 << 20
 HOT_RUNS = 1024
