@@ -94,14 +94,14 @@ def runs_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int,
     at = np.flatnonzero(new & (np.cumsum(inside[:-1], dtype=np.int8) > 0))
     own = np.searchsorted(first, at, "right") - 1
     windows = np.minimum(np.append(at[1:], len(low)), last[own] + 1) - at
-    # The content of a run, tiled by grams, the last of which ends with it.
+    # The content of a run, tiled by grams, the last of which ends with it. The least of many ranks is small: mixed, it is spread evenly again.
     whole = windows + length - 1
     tiles = -(-whole // gram)
     ahead = np.cumsum(tiles) - tiles
     number = np.arange(tiles.sum()) - np.repeat(ahead, tiles)
     where = np.minimum(np.repeat(at, tiles) + number * gram, np.repeat(at + whole - gram, tiles))
     content = np.add.reduceat(mix(rank[where] + (number.astype(np.uint64) + np.uint64(1)) * _A), ahead)
-    return piece[own], at, windows, low[at], mix(content + windows.astype(np.uint64) * _C)
+    return piece[own], at, windows, mix(low[at]), mix(content + windows.astype(np.uint64) * _C)
 
 
 def window_ranks(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
