@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.graph import control_depth
-from tallyloom.plans.dims import QUESTIONS
+from tallyloom.operators.rubric import QUESTIONS
 from tallyloom.sources.projects import Projects
 
 # Names that say nothing, and names that say a certain thing.
@@ -149,17 +149,28 @@ def project_context(p: Projects) -> DataFrame:
     handler = starts("event_when")
     spoken = F.lower(F.trim("broadcast_name"))
     descriptive = (spoken != "") & ~spoken.isin(*PLAIN_BROADCASTS)
-    # Sets of a project's names are small; four distinct counts would repeat every block five times.
-    different = lambda c: F.size(F.collect_set(c)).cast("long")
+    different = {
+        "event_type_count": F.when(handler, F.col("opcode")),
+        "handler_count": F.when(handler, F.nullif("target_name", F.lit(""))),
+        "broadcast_name_count": F.col("broadcast_name"),
+        "descriptive_broadcast_count": F.when(descriptive, F.col("broadcast_name")),
+    }
+    # Distinct names are few, and come from few blocks: on their own rows they leave the counts to plain hash aggregation.
+    rows = [F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in different.items()]
+    distinct = (
+        p.blocks.filter(handler | F.col("broadcast_name").isNotNull())
+        .select("project_id", F.inline(F.array(*rows)))
+        .filter("value is not null")
+        .groupBy("project_id", "kind", "value")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("project_id")
+        .agg(*(F.count_if(F.col("kind") == k).alias(k) for k in different))
+    )
     blocks = own.groupBy("project_id").agg(
         F.count("*").alias("block_count"),
         F.max("depth").alias("max_control_nesting_depth"),
         *(F.count_if(c).alias(k) for k, c in counts.items()),
         *(_some(c).alias(k) for k, c in flags.items()),
-        different(F.when(handler, F.col("opcode"))).alias("event_type_count"),
-        different(F.when(handler, F.nullif("target_name", F.lit("")))).alias("handler_count"),
-        different(F.col("broadcast_name")).alias("broadcast_name_count"),
-        different(F.when(descriptive, F.col("broadcast_name"))).alias("descriptive_broadcast_count"),
         _some(F.col("cyclic")).alias("cyclic"),
     )
     target = F.lower("target_name")
@@ -186,7 +197,7 @@ def project_context(p: Projects) -> DataFrame:
         _some(said.contains("fix")).alias("comment_fix"),
     )
     whole = p.projects.select("project_id")
-    for part in (targets, blocks, names, comments):
+    for part in (targets, blocks, distinct, names, comments):
         whole = whole.join(part, "project_id", "left")
     filled = whole.select(
         "project_id",

@@ -1,4 +1,4 @@
-"""Choosing labelled examples: similarity, complexity bands, MMR, coverage, contrast.
+"""Choosing labelled examples: MMR, coverage, contrast.
 
 Records have pos (their order, from 0), id, the columns of project_features() and grades (array<int> in the order of DIMENSIONS).
 """
@@ -7,78 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.scoring import complexity_band
-from tallyloom.plans.dims import DIMENSIONS, FEATURES, FLAG_FEATURES, NUMERIC_FEATURES
+from tallyloom.operators.index import most_similar, near_pairs
+from tallyloom.operators.similar import candidates, nearest, similarity
+from tallyloom.plans.dims import DIMENSIONS, FEATURES
 from tallyloom.sources.lineage import cut
 
-SALTS = 16
-# Fixed values: (flags, weight of each, numbers, weight of each).
-PROFILES = [
-    (FLAG_FEATURES, 2.0, NUMERIC_FEATURES, 1.0),
-    (["uses_loops", "uses_conditionals", "uses_algorithms", "uses_nesting", "uses_math"], 1.8, ["block_count"], 1.0),
-    (["uses_event_handling", "uses_messaging", "uses_ui_feedback"], 2.0, ["sprite_count"], 1.1),
-    (["uses_variables", "uses_lists", "uses_math"], 1.7, ["variable_count", "list_count"], 1.0),
-]
-
-
-def similarity(a: str = "a.", b: str = "b.") -> Column:
-    """Of two records' features; both missing is a match."""
-    total = F.lit(0.0)
-    for flags, flag_weight, numbers, number_weight in PROFILES:
-        for c in flags:
-            total = total + F.when(F.col(a + c).eqNullSafe(F.col(b + c)), flag_weight).otherwise(0.0)
-        for c in numbers:
-            x, y = (F.coalesce(F.col(p + c), F.lit(0)).cast("double") for p in (a, b))
-            total = total + number_weight * (1 - F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0)))
-    return total
-
-
-def allowed_bands(records: DataFrame, least: int | None) -> Column:
-    """For a record's band, the bands that its candidates come from: its own, then near ones, then all, until `least` are found.
-
-    Only three counts reach the driver. The record itself is not a candidate.
-    """
-    if least is None:
-        return F.array(F.lit(0), F.lit(1), F.lit(2))
-    n = {r[0]: r[1] for r in records.groupBy(complexity_band().alias("band")).count().collect()}
-    total = sum(n.values())
-    out = None
-    for band in range(3):
-        near = [b for b in range(3) if abs(b - band) <= 1]
-        wanted = min(total - 1, least)
-        scope = next((s for s in ([band], near) if sum(n.get(b, 0) for b in s) - 1 >= wanted), [0, 1, 2])
-        value = F.array(*map(F.lit, scope))
-        out = F.when(F.col("band") == band, value) if out is None else out.when(F.col("band") == band, value)
-    return out
-
-
-def candidates(records: DataFrame, tests: DataFrame, least: int | None = None, salts: int = SALTS) -> DataFrame:
-    """(test_pos, test_id, pos, id, similarity) of every test and its candidates.
-
-    least: how many candidates a test should have before its complexity band is widened; None takes all records. Candidates are
-    dealt out by band and salt, tests are repeated for each salt, so that three bands don't mean three tasks.
-    """
-    features = lambda a: [F.struct(*(F.col(c) for c in FEATURES)).alias(a)]
-    band = complexity_band().alias("band")
-    salt = F.pmod(F.xxhash64("pos"), F.lit(salts)).cast("int").alias("salt")
-    right = records.select("pos", "id", salt, band, *features("b"))
-    left = (
-        tests.select(F.col("pos").alias("test_pos"), F.col("id").alias("test_id"), band, *features("a"))
-        .withColumn("band", F.explode(allowed_bands(records, least)))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    return left.join(right, ["band", "salt"]).filter("pos <> test_pos").select("test_pos", "test_id", "pos", "id", similarity().alias("similarity"))
-
-
-def nearest(pairs: DataFrame, k: int = 8) -> DataFrame:
-    """pairs with rank (from 1), the k most similar candidates of each test; ties go by pos."""
-    w = Window.partitionBy("test_pos").orderBy(F.col("similarity").desc(), "pos")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def mmr_weights(pairs: DataFrame) -> DataFrame:
     """(test_pos, test_id, similarity_weight, diversity_weight) from how alike a test's eight best candidates are."""
     top = nearest(pairs, 8).groupBy("test_pos", "test_id").agg(F.avg("similarity").alias("m"), F.stddev_pop("similarity").alias("s"))
@@ -100,15 +36,17 @@ def mmr_examples(records: DataFrame, tests: DataFrame, k: int) -> DataFrame:
     if k <= 0:
         return candidates(records, tests).limit(0).withColumn("rank", F.lit(1)).select("test_pos", "test_id", "rank", "pos", "id", "similarity")
     least = min(total - 1, max(2 * k, k + 2))
-    pairs = candidates(records, tests, least)
     ends = records.agg(F.max(F.array_max("grades")).alias("hi"), F.min(F.array_min("grades")).alias("lo")).first()
     reach = float(max(ends.hi or 0, 0) - min(ends.lo or 0, 0))
+    weights = cut(mmr_weights(most_similar(records, tests, 8, least)).drop("test_id"))
+    weighed = tests.join(weights.withColumnRenamed("test_pos", "pos"), "pos")
+    pairs = near_pairs(records, weighed, k, least, margin=F.col("diversity_weight") * reach / F.col("similarity_weight"))
     w = Window.partitionBy("test_pos")
     ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(F.col("similarity").desc(), "pos")))
     kth = ranked.filter(F.col("rank") == k).select("test_pos", F.col("similarity").alias("kth"))
     pool = (
         ranked.drop("rank")
-        .join(mmr_weights(pairs).drop("test_id"), "test_pos")
+        .join(weights, "test_pos")
         .join(kth, "test_pos", "left")
         .filter(F.col("kth").isNull() | (F.col("similarity_weight") * F.col("similarity") >= F.col("similarity_weight") * F.col("kth") - F.col("diversity_weight") * reach - 1e-6))
         .join(records.select("pos", "grades"), "pos")
@@ -123,7 +61,8 @@ def mmr_examples(records: DataFrame, tests: DataFrame, k: int) -> DataFrame:
         far, free, chosen = np.full(len(pdf), np.inf), np.ones(len(pdf), dtype=bool), []
         for _ in range(min(k, len(pdf))):
             new = np.where(graded & np.isfinite(far), far, 0.0)
-            best = int(np.argmax(np.where(free, alike + pdf["diversity_weight"].iloc[0] * new, -np.inf)))  # the first of equals
+            worth = np.round(alike + pdf["diversity_weight"].iloc[0] * new, 9)  # sums of like parts are ties, in whichever order they were added
+            best = int(np.argmax(np.where(free, worth, -np.inf)))  # the first of equals
             chosen.append(best)
             free[best] = False
             far = np.minimum(far, np.abs(grades - grades[best]).sum(axis=1) / len(DIMENSIONS))
@@ -205,7 +144,7 @@ def balanced_examples(records: DataFrame, k: int = 15) -> DataFrame:
 def contrastive_examples(records: DataFrame, dimension: str, n: int = 6, seed: int = 42) -> DataFrame:
     """Low and high scorers of one dimension, by id: half from each side of the median of the different scores.
 
-    Within a side, a hash of seed and id decides. With one score only, both sides are the same records, which may then occur twice.
+    Within a side, the md5 of "seed:id" decides. With one score only, both sides are the same records, which may then occur twice.
     """
     scored = records.withColumn("g", F.get("grades", F.lit(DIMENSIONS.index(dimension)))).filter("g is not null")
     different = [r[0] for r in scored.select("g").distinct().orderBy("g").collect()]  # as many as there are grades
@@ -213,7 +152,7 @@ def contrastive_examples(records: DataFrame, dimension: str, n: int = 6, seed: i
         return scored.drop("g")
     middle = len(different) // 2
     high = different[middle + 1 :] or different[-1:]
-    draw = lambda part, m: scored.filter(F.col("g").isin(*part)).orderBy(F.xxhash64(F.lit(seed), "id"), "id", "pos").limit(m)
+    draw = lambda part, m: scored.filter(F.col("g").isin(*part)).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id", "pos").limit(m)
     n_low = -(-n // 2)
     return draw(different[: middle + 1], n_low).union(draw(high, n - n_low)).drop("g").orderBy("id")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.plans.dims import DIMENSIONS, FLAG_FEATURES, LADDERS, QUESTIONS
+from tallyloom.operators.rubric import LADDERS, QUESTIONS
+from tallyloom.plans.dims import DIMENSIONS, FLAG_FEATURES
 
 
 def true_count(dimension: str) -> Column:
@@ -61,7 +62,7 @@ def complexity_band() -> Column:
     return F.when(s < 28, 0).when(s < 52, 1).otherwise(2)
 
 
-# Fixed values: (first mode, condition, dimension, cap). A cap holds only for predictions below 4.
+#: (first mode, condition, dimension, cap). A cap holds only for predictions below 4.
 CAPS = [
     ("v1", "not uses_event_handling", "event_handling", 2),
     ("v1", "not uses_messaging", "messaging", 2),

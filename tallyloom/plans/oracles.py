@@ -1,10 +1,14 @@
-"""The same results in SQL for DuckDB, written over the tables alone; only names come from plans.dims."""
+"""The same results in SQL for DuckDB, over the tables alone. Names come from plans.dims, the rubric's rules from the one table of operators.rubric,
+which tests/test_rubric.py holds against hand-made cases."""
 
 from __future__ import annotations
 
+import re
+
+from tallyloom.operators.rubric import LADDERS, QUESTIONS
+from tallyloom.operators.scoring import CAPS
 from tallyloom.plans.corpus import OPCODES
-from tallyloom.plans.dims import DIMENSIONS, FEATURES, FLAG_FEATURES, QUESTIONS
-from tallyloom.plans.rubric_sql import CAP_V1, CAP_V2, SCORE, SHARE, YES_IF
+from tallyloom.plans.dims import DIMENSIONS, FEATURES, FLAG_FEATURES
 
 _DIMS = "dims(dim_idx, dimension) as (values " + ", ".join(f"({i}, '{d}')" for i, d in enumerate(DIMENSIONS, 1)) + ")"
 _OPS = ", ".join(f"'{x}'" for x in OPCODES)
@@ -118,18 +122,22 @@ names_c as (
   from blocks_c b join depths using (project_id) left join names_c using (project_id)
 )"""
 
-_ASKED = {d: {q: YES_IF.get(d, {}).get(q, "false") for q in QUESTIONS[d]} for d in DIMENSIONS}
 _ANSWERS = "answers as (" + " union all ".join(
-    f"select project_id, '{d}' as dimension, '{q}' as question, cast({rule} as boolean) as answer from context" for d, rules in _ASKED.items() for q, rule in rules.items()
+    f"select project_id, '{d}' as dimension, '{q}' as question, cast({rule} as boolean) as answer from context" for d, rules in QUESTIONS.items() for q, rule in rules.items()
 ) + ")"
 
 
 def _score(d: str) -> str:
-    n = "(" + " + ".join(f"cast({d}_{q} as int)" for q in _ASKED[d]) + ")"
-    return SCORE.get(d, SHARE).format(n=n, of=len(_ASKED[d]), **{q: f"{d}_{q}" for q in _ASKED[d]})
+    asked = QUESTIONS[d]
+    n = "(" + " + ".join(f"cast({d}_{q} as int)" for q in asked) + ")"
+    if d not in LADDERS:
+        fifths = " ".join(f"when {n} / {len(asked)}.0 <= {k / 5} then {k + 1}" for k in (1, 2, 3))
+        return f"case when {n} = 0 then 1 {fifths} else 5 end"
+    said = lambda condition: re.sub(r"\w+", lambda w: f"{d}_{w[0]}" if w[0] in asked else n if w[0] == "n" else w[0], condition)
+    return "case " + " ".join(f"when {said(condition)} then {value}" for condition, value in LADDERS[d]) + " end"
 
 
-_WIDE = "wide as (select project_id, " + ", ".join(f"{rule} as {d}_{q}" for d, rules in _ASKED.items() for q, rule in rules.items()) + " from context)"
+_WIDE = "wide as (select project_id, " + ", ".join(f"{rule} as {d}_{q}" for d, rules in QUESTIONS.items() for q, rule in rules.items()) + " from context)"
 _SCORES = "scores as (" + " union all ".join(f"select project_id, '{d}' as dimension, {_score(d)} as score from wide" for d in DIMENSIONS) + ")"
 
 C2 = f"""{_DIMS}, facts0 as (
@@ -156,7 +164,7 @@ def _predicted(d: str) -> str:
 def _calibrated(mode: str) -> str:
     parts = []
     for d in DIMENSIONS:
-        caps = [c[d] for c in ((CAP_V1, CAP_V2) if mode == "v2" else (CAP_V1,)) if d in c]
+        caps = [f"case when {condition} then {cap} else 9 end" for m, condition, dim, cap in CAPS if dim == d and (m == "v1" or mode == "v2")]
         p = _predicted(d)
         value = f"case when {p} < 4 then least({', '.join([p, *caps])}) else {p} end"
         parts.append(f"select project_id, '{d}' as dimension, cast({value} as int) as predicted from features")

@@ -1,12 +1,18 @@
-"""SQL of prompts, constraints, greedy choices and entry points. Fixed texts come from where they stand; rules are written anew."""
+"""SQL of prompts, constraints, greedy choices and entry points.
+
+Fixed texts, and what they hang on, come from functions.prompt; tests/test_rubric.py holds the texts against digests and the conditions against cases.
+"""
 
 from __future__ import annotations
 
 import json
+import re
 
 from tallyloom.functions import prompt
+from tallyloom.operators.rubric import QUESTIONS
 from tallyloom.plans.dims import CATEGORIES, DIMENSIONS, FEATURES, FLAG_FEATURES, SUMMARIES
 from tallyloom.plans.guides import ASKED, LEVELS
+from tallyloom.plans.oracles import ORACLES as ORACLES_BEFORE
 from tallyloom.plans.oracles import _C4, _DIMS, _SCORES, _WIDE, BLOCKS, CONTEXT_ROWS, DEPTH_ROWS, FEATURE_ROWS, PAIRS, _calibrated, _predicted
 
 
@@ -46,31 +52,18 @@ def _filled(f: str, text: str) -> str:
     return " || ".join(out)
 
 
-#: When a hint or a step says its first text.
-HINT_IF = {
-    "variables": "{f}.variable_count >= 1", "math": "{f}.uses_math", "lists": "{f}.list_count >= 1", "sound": "{f}.uses_sound", "collision": "{f}.uses_collision",
-    "event_handling": "{f}.uses_event_handling", "messaging": "{f}.uses_messaging", "procedures": "{f}.block_count >= 30 and {f}.uses_algorithms",
-    "nesting": "{f}.uses_nesting", "ui_feedback": "{f}.uses_ui_feedback",
-}
-STEP_IF = {
-    "problem_decomposition": "{f}.sprite_count > 4", "sequencing": "{f}.block_count > 49", "loops": "{f}.uses_loops", "conditionals": "{f}.uses_conditionals",
-    "variables": "{f}.uses_variables", "event_handling": "{f}.uses_event_handling", "debugging": "1 = 1", "procedures": "{f}.block_count > 29 and {f}.uses_algorithms",
-    "coordinates": "{f}.sprite_count > 1 and {f}.uses_event_handling", "cloning": "{f}.uses_cloning", "collision": "{f}.uses_collision", "animation": "{f}.uses_animation",
-    "sound": "{f}.uses_sound", "ui_feedback": "{f}.uses_ui_feedback", "lists": "{f}.uses_lists", "math": "{f}.uses_math", "messaging": "{f}.uses_messaging",
-    "algorithms": "{f}.uses_loops and {f}.uses_conditionals", "nesting": "{f}.uses_nesting", "integration": "{f}.uses_integration",
-}
+def _holds(condition: str, f: str) -> str:
+    return re.sub(r"\w+", lambda w: f"{f}.{w[0]}" if w[0] in FEATURES else w[0], condition)
 
 
 def _hints(f: str) -> list[str]:
-    texts = {d: (yes, no) for d, _, yes, no in prompt.HINTS}
-    return [f"'  - {d}: ' || case when {HINT_IF[d].format(f=f)} then {_filled(f, texts[d][0])} else {_filled(f, texts[d][1])} end" for d in HINT_IF]
+    return [f"'  - {d}: ' || case when {_holds(when, f)} then {_filled(f, yes)} else {_filled(f, no)} end" for d, when, yes, no in prompt.HINTS]
 
 
 def _steps(f: str) -> str:
-    texts = {d: (yes, no) for d, _, yes, no in prompt.STEPS}
     rows = [f"'  - The project has ' || {f}.sprite_count || ' sprite(s) and ' || {f}.block_count || ' block(s), giving a rough sense of overall complexity.'"]
-    for d, when in STEP_IF.items():
-        rows.append(f"'  - {d} (' || {_grade(f, d)} || '): ' || case when {when.format(f=f)} then {_filled(f, texts[d][0])} else {_filled(f, texts[d][1])} end")
+    for d, when, yes, no in prompt.STEPS:
+        rows.append(f"'  - {d} (' || {_grade(f, d)} || '): ' || case when {_holds(when, f)} then {_filled(f, yes)} else {_filled(f, no)} end")
     return _lines(*rows)
 
 
@@ -159,7 +152,7 @@ from n a join n b on a.at = 1 and b.at = 2 join n c on c.at = 3 join n t on t.at
 
 def _constraints() -> str:
     sees = lambda d, q: f"{d}_{q}"
-    true_of = lambda d: "(" + " + ".join(f"cast({d}_{q} as int)" for q in _QUESTION_NAMES[d]) + ")"
+    true_of = lambda d: "(" + " + ".join(f"cast({d}_{q} as int)" for q in QUESTIONS[d]) + ")"
     flow = sees("sequencing", "clear_start_to_finish_flow")
     event = f"(uses_event_handling or {flow} or {sees('event_handling', 'events_beyond_green_flag')})"
     depth = f"case when {sees('nesting', 'nested_systems_used')} then 4 when {sees('nesting', 'loops_nested')} or {sees('nesting', 'conditionals_nested')} then 2 else 0 end"
@@ -202,22 +195,13 @@ def _constraints() -> str:
     return f"with {BLOCKS}, {FEATURE_ROWS}, {DEPTH_ROWS}, {CONTEXT_ROWS}, {_WIDE}, {out} {last}"
 
 
-def _question_names() -> dict[str, list[str]]:
-    from tallyloom.plans.dims import QUESTIONS
-
-    return {d: list(rules) for d, rules in QUESTIONS.items()}
-
-
-_QUESTION_NAMES = _question_names()
-
-
 # --- greedy choices
 
 
-def _mmr(k: int) -> str:
+def _mmr(k: int, tested: str = "where a.project_id % 100 = 0", of: str = "features") -> str:
     """k picks, each the best of what is left; sums go by whole grades, so that ties are ties on both sides."""
     least = max(2 * k, k + 2)
-    pairs = PAIRS.replace("least(8, all_n)", f"least({least}, all_n)")
+    pairs = PAIRS.replace("least(8, all_n)", f"least({least}, all_n)").replace("where a.project_id % 100 = 0", tested).replace("from features)", f"from {of})")
     far = " + ".join(f"abs((a.id * 7 + {5 * i}) % 6 - (b.id * 7 + {5 * i}) % 6)" for i in range(1, 21))
     out = f"""with {BLOCKS}, {FEATURE_ROWS}, {pairs}, m as (select test_id, avg(similarity) as m, stddev_pop(similarity) as s from top where rank <= 8 group by 1),
 v as (select *, case when m > 0 then s / m else 0 end as cv from m),
@@ -284,6 +268,14 @@ _SHEET = """sheet as (
 ), listed as (
   select n, reviewer, row_number() over (order by n, reviewer) - 1 as pos from sheet where n % 50 <> 1
 )"""
+_CONTRASTIVE = """with r as (
+  select c_custkey as id, (c_custkey * 9 + 9) % 6 as g, md5('42:' || c_custkey) as h from customer
+), d as (select g, row_number() over (order by g) - 1 as place, count(*) over () as n from (select distinct g from r)),
+s as (select id, h, case when place <= n // 2 then 'low' end as low, case when place > n // 2 or (place = n - 1 and n // 2 = n - 1) then 'high' end as high from r join d using (g)),
+p as (
+  (select id from s where low is not null order by h, id limit 3) union all (select id from s where high is not null order by h, id limit 3)
+) select id from p"""
+
 _ENRICHED = f"{_DIMS}, {BLOCKS}, {FEATURE_ROWS}, {DEPTH_ROWS}, {CONTEXT_ROWS}, {_WIDE}, {_SCORES}, {_SHEET}"
 _MARK = "case when (n + dim_idx + reviewer) % 7 = 6 then 0 else (n + dim_idx + reviewer) % 7 end"
 _STORED = f"{_ENRICHED}, facts as (select pos, n as sample_id, dimension, {_MARK} as actual, score as predicted from listed join scores on project_id = n join dims using (dimension))"
@@ -302,11 +294,59 @@ def _held_out() -> str:
     return f"with {_DIMS}, {_ALL_FEW}, given as ({body}), facts as (select project_id as sample_id, dimension, cast((project_id * 7 + dim_idx * 5) % 6 as int) as actual, predicted from given join dims using (dimension))"
 
 
+def _held_out_by_choice(text: str, of: str, blended: bool) -> str:
+    """Every record of `of` with its two MMR picks a and b; the answer hangs on the prompt's length."""
+    picks = _mmr(2, "", of)
+    ends = "(" + picks.removeprefix(f"with {BLOCKS}, {FEATURE_ROWS}, ").rsplit(" select test_id, rank", 1)[1]
+    chosen = picks.rsplit(" select test_id, rank", 1)[0] + ", picked as (select * from " + ends.split(" from ", 1)[1] + ")"
+    out = f"""{chosen}, asked as (
+  select t.project_id, t.block_count, {", ".join(f"t.{c}" for c in FEATURES if c != "block_count")}, 1 + length({text}) % 5 as said,
+    r1.id as id1, r2.id as id2, r1.similarity as s1, r2.similarity as s2
+  from banded t join picked r1 on r1.test_id = t.project_id and r1.rank = 1 join banded a on a.project_id = r1.id
+  join picked r2 on r2.test_id = t.project_id and r2.rank = 2 join banded b on b.project_id = r2.id
+)"""
+    if blended:
+        share = lambda k: f"(s{k} - least(s1, s2) + cast(1e-6 as double))"
+        prior = f"({share(1)} * ((id1 * 7 + dim_idx * 5) % 6) + {share(2)} * ((id2 * 7 + dim_idx * 5) % 6)) / ({share(1)} + {share(2)})"
+        predicted = f"cast(greatest(0, least(5, round_even(cast(0.6 as double) * said + cast(0.4 as double) * {prior}, 0))) as int)"
+        body = f"select project_id, dimension, {predicted} as predicted from asked, dims"
+    else:
+        body = _calibrated("v1").split(FEATURE_ROWS, 1)[1].replace("from features", "from asked")
+        for d in DIMENSIONS:
+            body = body.replace(_predicted(d), "said")
+    return (
+        f"with {_DIMS}, {out.removeprefix('with ')}, given as ({body}) select project_id as sample_id, dimension, cast((project_id * 7 + dim_idx * 5) % 6 as int) as actual, predicted"
+        " from given join dims using (dimension)"
+    )
+
+
+def _category_text(c: str) -> str:
+    return _category(c).split(" as category, ", 1)[1].rsplit(" as prompt", 1)[0]
+
+
+_OPS_SET = "contains(lower(opcode), 'set') or contains(lower(opcode), 'create_variable') or contains(lower(opcode), 'init')"
+
 ORACLES = {
+    "leave_one_out_batched": _held_out_by_choice(_category_text(list(CATEGORIES)[-1]), "features", False),
+    "leave_one_out_blended": _held_out_by_choice(_hybrid([_example(1, "a"), _example(2, "b")]), "(select * from features order by project_id limit 200) f", True),
+    "clone_handlers": f"""with {BLOCKS} select project_id, bool_or(contains(opcode, 'clone') and contains(opcode, 'create')) as clone_create,
+  bool_or(contains(opcode, 'start_as_clone')) as clone_start from blocks group by 1""",
+    "initialised_variables": f"""with {BLOCKS}, n as (
+  select project_id, opcode, row_number() over (partition by project_id order by block_id) as place,
+    case when opcode = 'data_setvariableto' then case k % 4 when 0 then 'score' when 1 then 'var' || k when 2 then 'lives' else 'speed' end end as variable
+  from blocks
+), v as (select project_id, list_sort(list_distinct(list(variable) filter (({_OPS_SET}) and variable is not null and place <= 20))) as names from n group by 1)
+select project_id, coalesce(len(names), 0) as num_var_inited, coalesce(array_to_string(names[1:5], ','), '') as sample from v""",
+    "json_depths": f"with {BLOCKS} select project_id, case when bool_or(opcode in ('event_broadcast', 'event_whenbroadcastreceived')) then 7 else 5 end as depth from blocks group by 1",
+    "sheet_round_trip": ORACLES_BEFORE["label_grades_long"],
+    "map_round_trip": ORACLES_BEFORE["confusion_map"],
+    "dataset_round_trip": "select c_custkey as id, cast(c_custkey % 7 as double) / 4 as x, 'say \"{' || (c_custkey % 5) || '}]\\' as t, [c_custkey % 3, 2] as g from customer",
+    "predictions_round_trip": ORACLES_BEFORE["confusion_remap"],
     "hard_constraints": _constraints(),
     "mmr_pick_k2": _mmr(2),
     "mmr_pick": _mmr(3),
     "balanced_pick": _BALANCED,
+    "contrastive_pick": _CONTRASTIVE,
     "prompt_few_shot": _two(_FEW),
     "prompt_chain_of_thought": _two(_COT),
     "prompt_hybrid": _two(_hybrid([_example(1, "a"), _example(2, "b")])),

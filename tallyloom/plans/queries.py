@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from tallyloom.operators import scoring as sc
 from tallyloom.operators.graph import control_depth
 from tallyloom.plans import corpus, loocv
 from tallyloom.plans.dims import CATEGORIES, DIMENSIONS, FEATURES
+from tallyloom.sources import files, json_array
+from tallyloom.sources.lineage import cut, shared_dir
 
 P = "p_"
 SCHEMA = '{"loops": "0-5", "math": "0-5"}'
@@ -157,45 +161,50 @@ def _records(spark, sf):
     )
 
 
+def _kept(spark, sf):
+    """_records(), written once: retrieval reads them several times."""
+    return cut(_records(spark, sf))
+
+
 def _tests(records):
     """Every record whose id is divisible by 100 looks for examples among all."""
     return records.filter("id % 100 = 0")
 
 
 def similarity_top8(spark, sf):
-    r = _records(spark, sf)
-    return rt.nearest(rt.candidates(r, _tests(r)), 8).select("test_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+    r = _kept(spark, sf)
+    return rt.most_similar(r, _tests(r), 8).select("test_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def candidate_pool(spark, sf):
-    r = _records(spark, sf)
+    r = _kept(spark, sf)
     return rt.candidates(r, _tests(r), 8).groupBy("test_id").agg(F.count("*").alias("candidates"), F.sum("id").alias("id_sum"))
 
 
 def mmr_weights(spark, sf):
-    r = _records(spark, sf)
-    w = rt.mmr_weights(rt.candidates(r, _tests(r), 8))
+    r = _kept(spark, sf)
+    w = rt.mmr_weights(rt.most_similar(r, _tests(r), 8, 8))
     return w.select("test_id", *(F.round(c, 6).alias(c) for c in ("similarity_weight", "diversity_weight")))
 
 
 def first_k_examples(spark, sf):
-    r = _records(spark, sf)
+    r = _kept(spark, sf)
     return rt.first_examples(r, _tests(r), 3).select("test_id", "rank", "id")
 
 
 def mmr_pick_k2(spark, sf):
-    r = _records(spark, sf)
+    r = _kept(spark, sf)
     return rt.mmr_examples(r, _tests(r), 2).select("test_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def mmr_pick(spark, sf):
-    r = _records(spark, sf)
+    r = _kept(spark, sf)
     return rt.mmr_examples(r, _tests(r), 3).select("test_id", "rank", "id", F.round("similarity", 6).alias("similarity"))
 
 
 def retrieval_blend(spark, sf):
-    r = _records(spark, sf)
-    examples = rt.nearest(rt.candidates(r, _tests(r)), 3)
+    r = _kept(spark, sf)
+    examples = rt.most_similar(r, _tests(r), 3)
     predictions = corpus.with_dimensions(_tests(r).select(F.col("pos").alias("test_pos"))).selectExpr("test_pos", "dimension", "(test_pos + dim_idx) % 6 as predicted")
     return rt.blend(predictions, examples, r, 0.4).select(F.col("test_pos").alias("test_id"), "dimension", "predicted")
 
@@ -230,10 +239,10 @@ def response_confidence(spark, sf):
 
 
 def _prompted(spark, sf, build):
-    r = _records(spark, sf)
+    r = _kept(spark, sf)
     tests = _tests(r)
     own = F.struct(*FEATURES).alias("features")
-    nearest = rt.nearest(rt.candidates(r, tests), 2).select("test_pos", "rank", "pos")
+    nearest = rt.most_similar(r, tests, 2).select("test_pos", "rank", "pos")
     examples = (
         nearest.join(r.select("pos", own, "grades"), "pos")
         .groupBy("test_pos")
@@ -324,6 +333,68 @@ def leave_one_out_summary(spark, sf):
     return ev.summary_long(ev.summary(leave_one_out(spark, sf))).withColumn("value", F.round("value", 6))
 
 
+def leave_one_out_batched(spark, sf):
+    """As leave_one_out, with MMR's two examples and one prompt for each category of dimensions."""
+    return loocv.leave_one_out(_records(spark, sf), loocv.Settings(num_examples=2, style="hybrid", batched=True, calibration="v1"))
+
+
+def leave_one_out_blended(spark, sf):
+    """The first 200 records in the hybrid style, pulled toward their examples' grades."""
+    return loocv.leave_one_out(_records(spark, sf), loocv.Settings(num_examples=2, style="hybrid", blend_weight=0.4, limit=200))
+
+
+def clone_handlers(spark, sf):
+    return fe.clone_handlers(corpus.block_rows(spark, sf))
+
+
+def initialised_variables(spark, sf):
+    rows = corpus.block_rows(spark, sf).withColumn(
+        "variable", F.expr("case when opcode = 'data_setvariableto' then case k % 4 when 0 then 'score' when 1 then concat('var', k) when 2 then 'lives' else 'speed' end end")
+    )
+    found = fe.initialised_variables(rows, "block_id", "variable", first=20)
+    return found.select("project_id", "num_var_inited", F.array_join("var_names_sample", ",").alias("sample"))
+
+
+def json_depths(spark, sf):
+    return corpus.raw_projects(spark, sf).select("project_id", fe.json_depth(F.col("json")).alias("depth"))
+
+
+def _folder(spark, name):
+    """A new folder in the shared one; what is returned reads it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sheet_round_trip(spark, sf):
+    """The label sheet written as CSV and read back."""
+    path = _folder(spark, "sheet")
+    corpus.label_sheet(spark, sf).write.csv(path, header=True)
+    return ev.label_grades(files.read_sheet(spark, path))
+
+
+def map_round_trip(spark, sf):
+    """The confusion map saved and loaded."""
+    path = _folder(spark, "map")
+    files.save_map(ev.confusion_map(corpus.grade_facts(spark, sf)), path)
+    return files.load_map(spark, path)
+
+
+def dataset_round_trip(spark, sf):
+    """Records written as JSON arrays and scanned again."""
+    path = _folder(spark, "dataset")
+    rows = corpus.table(spark, sf, "customer").selectExpr(
+        "c_custkey as id", "c_custkey % 7 / 4D as x", "concat('say \"{', c_custkey % 5, '}]', chr(92)) as t", "array(c_custkey % 3, 2L) as g"
+    )
+    json_array.write_array(rows, path, files=4)
+    return json_array.read_records(spark, path, "id long, x double, t string, g array<long>")
+
+
+def predictions_round_trip(spark, sf):
+    """Remapped predictions written as JSON lines and read back."""
+    path = _folder(spark, "predictions")
+    files.write_predictions(confusion_remap(spark, sf), path)
+    return files.read_dataset(spark, path, "sample_id long, dimension string, predicted int")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -335,7 +406,8 @@ QUERIES = {
         response_grades, response_sanitized, response_confidence, response_server,
         prompt_few_shot, prompt_chain_of_thought, prompt_hybrid, prompt_rubric_reference, prompt_question_based, prompt_category,
         prompt_generic, prompt_ensemble, prompt_of_records, provider_grades,
-        enriched_records, stored_evaluation, leave_one_out, leave_one_out_summary,
+        enriched_records, stored_evaluation, leave_one_out, leave_one_out_summary, leave_one_out_batched, leave_one_out_blended,
+        clone_handlers, initialised_variables, json_depths, sheet_round_trip, map_round_trip, dataset_round_trip, predictions_round_trip,
     )
 }
 

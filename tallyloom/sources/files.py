@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.plans.dims import SHEET_COLUMNS
+from tallyloom.sources.json_array import read_records
+from tallyloom.sources.publish import publish, published
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -19,11 +21,8 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """An array of records in one JSON file, or Parquet."""
-    if path.endswith(".parquet"):
-        return spark.read.parquet(path)
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    """Arrays of records in JSON files, each read by many tasks, or Parquet."""
+    return spark.read.parquet(path) if path.endswith(".parquet") else read_records(spark, path, schema)
 
 
 def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,18 +31,25 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def write_stages(raw: DataFrame, answers: DataFrame, scores: DataFrame, folder: str, order: str | None = None) -> dict[str, str]:
-    """Raw projects, answers and scores as Parquet, one row per project; where a project occurs again, the last one stays.
+    """Raw projects, answers and scores as one set of publish(), one row per project; where a project occurs again, the last one stays.
 
-    The last by order, where the table has such a column, else in the order in which it is read.
+    The last by order, where the table has such a column, else in the order in which it is read. Returns the tables' paths.
     """
     paths = {"raw_projects": raw, "atomic_features": answers, "model_scores": scores}
-    out = {}
+    last = {}
     for name, df in paths.items():
         by = order if order and order in df.columns else "_read"
-        df = last_of_each(df if by == order else df.withColumn(by, F.monotonically_increasing_id()), "project_id", by).drop("_read")
-        out[f"{name}_path"] = f"{folder.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(out[f"{name}_path"])
-    return out
+        last[name] = last_of_each(df if by == order else df.withColumn(by, F.monotonically_increasing_id()), "project_id", by).drop("_read")
+    return {f"{name}_path": path for name, path in publish(last, folder).items()}
+
+
+def write_results(records: DataFrame, summary: DataFrame, folder: str) -> dict[str, str]:
+    """Enriched records that have features, and their summary, as one set of publish(). Returns the tables' paths."""
+    return publish({"records": records.filter(F.col("block_count").isNotNull()), "summary": summary.coalesce(1)}, folder)
+
+
+def read_published(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(published(spark, folder)[name])
 
 
 def write_dataset(records: DataFrame, path: str) -> None:
@@ -88,6 +94,6 @@ def load_map(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(MAP_SCHEMA).parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], MAP_SCHEMA)

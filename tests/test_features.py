@@ -1,6 +1,7 @@
 """Parsing, features, answers and scores of projects, the reference scenarios among them."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from tallyloom.operators import features as fe
 from tallyloom.operators import scoring as sc
 from tallyloom.operators.graph import control_depth
-from tallyloom.plans.dims import CATEGORIES, DIMENSIONS, LADDERS, QUESTIONS
+from tallyloom.operators.rubric import LADDERS, QUESTIONS
+from tallyloom.plans.dims import CATEGORIES, DIMENSIONS
 from tallyloom.sources.projects import parse_projects
 
 
@@ -86,12 +88,45 @@ def chain(n, opcode="control_if"):
 def test_depth_of_long_chains_and_cycles(spark):
     ring = {"a": block("control_if", "b"), "b": block("control_if", "a"), "c": block("motion_movesteps")}
     p = project(spark, json.dumps({"targets": [{"name": "x", "blocks": chain(300)}]}), json.dumps({"targets": [{"name": "x", "blocks": ring}]}), json.dumps({"targets": [{"name": "x", "blocks": {"a": block("control_repeat_until", "gone")}}]}))
-    deep = control_depth(p.blocks, rounds=12).groupBy("project_id").agg(F.max("depth").alias("d"), F.count_if("nested").alias("n"), F.max("cyclic").alias("c"))
+    deep = control_depth(p.blocks).groupBy("project_id").agg(F.max("depth").alias("d"), F.count_if("nested").alias("n"), F.max("cyclic").alias("c"))
     got = {r.project_id: r for r in deep.collect()}
     assert (got[0].d, got[0].n, got[0].c) == (299, 299, False)
     assert got[1].c and not got[2].c and (got[2].d, got[2].n) == (0, 0)
 
 
+def test_depth_by_either_way(spark):
+    """Walked or doubled, with repeated and missing ids, cycles with tails, and targets of one name in two projects."""
+    draw = random.Random(4)
+    rows = []
+    for project in (1, 2, 3, None):
+        for target in (0, 1):
+            n = draw.choice([1, 6, 40])
+            for b in range(n):
+                opcode = draw.choice(["control_if", "control_repeat_until", "motion_movesteps", None])
+                rows.append((project, target, draw.choice([str(b), str(b), str(b), None]), opcode, draw.choice([str(draw.randrange(n)), str(max(0, b - 1)), "gone", None])))
+    rows += rows[:5]
+    blocks = spark.createDataFrame(rows, "project_id long, target_idx int, block_id string, opcode string, parent_id string")
+
+    def plain(row):
+        own = sorted((r for r in rows if r[:2] == row[:2] and r[2] is not None), key=lambda r: [(x is not None, x or "") for x in (r[3], r[4])])
+        first = {r[2]: r for r in reversed(own)}
+        control = lambda r: (r[3] or "").startswith(("control_repeat", "control_forever", "control_if"))
+        depth, seen, at = 0, set(), row
+        while at[4] in first:
+            at = first[at[4]]
+            if at[2] in seen:
+                return 0, control(row) and control(first[row[4]]), True
+            seen.add(at[2])
+            depth += control(at)
+        return depth, row[4] in first and control(row) and control(first[row[4]]), False
+
+    want = sorted((str((*r, *plain(r))) for r in rows))
+    assert sorted(str(tuple(r)) for r in control_depth(blocks).collect()) == want
+    known = [r for r in rows if r[0] is not None]
+    doubled = control_depth(blocks.filter("project_id is not null"), large=5, small_bytes=0)
+    assert sorted(str(tuple(r)) for r in doubled.collect()) == sorted(str((*r, *plain(r))) for r in known)
+
+
 E1 = ["events_beyond_green_flag", "handlers_attached_to_correct_sprites"]
 E2 = [*E1, "multiple_event_types_handled", "sprites_react_independently"]
 M3 = ["broadcasts_used", "sprites_respond_correctly", "messaging_architecture_clear", "multi_sprite_interactions_coordinated"]

@@ -1,11 +1,9 @@
 """Every registered query of the library itself: collected and held against its SQL.
 
-Those that unfold structs or are put together from several plans are written as well, as pruning differs from plan to plan and a count
-shows nothing of it; with WRITE_ALL=1 in the environment, all are.
+All are written as well, as pruning differs from plan to plan and a count shows nothing of it.
 """
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -16,10 +14,6 @@ from tallyloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ORACLES = oracles.ORACLES | oracles_more.ORACLES
-WRITTEN = {
-    "scores_all_dims", "score_distribution", "atomic_answers_long", "label_grades_long", "hard_constraints", "calibrate_v2", "eval_class_prf",
-    "prompt_category", "prompt_ensemble", "provider_grades", "response_grades", "enriched_records", "stored_evaluation", "leave_one_out",
-}
 
 
 @pytest.fixture(scope="module")
@@ -36,8 +30,8 @@ def plain(value):
     return value
 
 
-def test_only_the_seeded_choice_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"contrastive_pick"} and set(ORACLES) <= set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
@@ -46,10 +40,9 @@ def test_query(spark, tables, tmp_path, name):
     df = __spark_entry__.queries()[name](spark, SF)
     collected = [tuple(map(plain, r)) for r in df.collect()]
     assert collected
-    if name in WRITTEN or os.environ.get("WRITE_ALL"):
-        df.write.parquet(f"{tmp_path}/out")
-        written = [tuple(map(plain, r)) for r in spark.read.parquet(f"{tmp_path}/out").select(*df.columns).collect()]
-        assert len(written) == df.count() and sorted(map(str, collected)) == sorted(map(str, written))
+    df.write.parquet(f"{tmp_path}/out")
+    written = [tuple(map(plain, r)) for r in spark.read.parquet(f"{tmp_path}/out").select(*df.columns).collect()]
+    assert len(written) == df.count() and sorted(map(str, collected)) == sorted(map(str, written))
     if name in ORACLES:
         found = tables.execute(ORACLES[name])
         names = [d[0] for d in found.description]
