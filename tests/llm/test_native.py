@@ -200,3 +200,11 @@ def test_exact_groups_merge_by_pairs(spark):
     assert all((got[i].keep_id, got[i].group_size) == ((1, 60) if i % 3 else (i, 1)) for i in range(90))
     with pytest.raises(ValueError):
         exact_groups(df, fan_in=1)
+
+
+def test_sharding_takes_columns_that_have_no_order(spark):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.create_map(F.lit("a"), F.col("id") % 3).alias("m"), F.lit("x").alias("place"), F.lit(1).alias("block"), F.lit(None).alias("n"))
+    rows = shard_rows(df, shards=4).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(50)) and {r.m["a"] for r in rows} == {0, 1, 2}
+    assert sorted(sum(r.shard == k for r in rows) for k in range(4)) == [12, 12, 13, 13]
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(4))
