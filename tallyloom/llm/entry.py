@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.lineage import shared_dir
+
 from . import entry_more
 from .bpe import encode_documents
 from .chat import CONTROL, digests, format_conversations
 from .exact_dedup import exact_groups
+from .id_files import load_ids, save_ids
 from .line_dedup import MIN_SITES, dedup_lines
 from .near_vectors import near_groups
 from .ngram_join import jaccard_groups
 from .packing import END_ID, digest_ids, pack_documents
-from .pfor import read_documents, write_segments
+from .pfor import segments_of
 from .quality import classify
 from .shards import shard_rows
 from .shared import table, text_or_empty
@@ -76,8 +81,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    segments = write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return read_documents(segments, with_ids=False)
+    segments = segments_of(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return load_ids(spark, save_ids(segments, f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"), with_ids=False)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Token ids in patched frame-of-reference blocks, and the tables of segments that hold them.
+"""Token ids in patched frame-of-reference blocks, and the segments that hold them; id_files writes and reads these.
 
 A segment's bytes, all little-endian:
 
@@ -13,7 +13,6 @@ width is what PERCENT of the block's values fit in. The index lets a reader go t
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import SPACED, encoder_of
-from .shared import cut, small_batches
+from .shared import small_batches
 
 MAGIC = b"PFR1"
 BLOCK = 512
@@ -97,12 +96,12 @@ class Segment:
         return np.concatenate([self.read_block(k) for k in range(self.blocks)]) if self.blocks else np.empty(0, "<u4")
 
 
-def write_segments(
+def segments_of(
     docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT
 ) -> DataFrame:
-    """Writes the ids of all documents, end_id after each, in ascending id order; gives the table of segments.
+    """The ids of all documents by the tokenizer at path, end_id after each, in ascending id order, as a table of segments.
 
-    One row per segment, written to the shared folder by Spark's own committer: part and segment (their order is that of
+    One row per segment, for id_files.save_ids(): part and segment (their order is that of
     the ids), doc_ids array, lengths array<long>, first (ids of the part's segments before it), n_tokens, data (the bytes above). A segment is closed once it holds
     `segment` ids, so one holds more only by its last document. Null texts are empty, null ids come first; rows that share an
     id go by their text. Range partitions are cut by id and text hash, so that no id need fit one partition.
@@ -144,37 +143,4 @@ def write_segments(
         .sortWithinPartitions("id", "tie")
         .select("id", "text")
     )
-    return cut(
-        dealt.mapInArrow(run, f"part long, segment long, doc_ids array<{kind}>, lengths array<long>, first long, n_tokens long, data binary")
-    )
-
-
-def read_documents(segments: DataFrame, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
-    """One row per document of the segments: id, start (ids of all documents before it), n_tokens, ids_crc32, ids.
-
-    The driver sees one sum per part, that is per task that wrote.
-    """
-    kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
-    sums = sorted(tuple(r) for r in segments.groupBy("part").agg(F.sum("n_tokens")).collect())
-    starts, total = {}, 0
-    for part, n in sums:
-        starts[part] = total
-        total += n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            id_type = batch.column("doc_ids").type.value_type
-            for part, first, docs, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "doc_ids", "lengths", "data")), strict=True):
-                ids = Segment(data).read()
-                first += starts[part]
-                ends = np.cumsum(lengths)
-                cuts = list(zip((ends - lengths).tolist(), ends.tolist(), strict=True))
-                columns = [pa.array(docs, id_type), pa.array([first + a for a, _ in cuts], pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in cuts], pa.int64())]
-                names = [id_col, "start", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in cuts], pa.list_(pa.int64())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    fields = f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return segments.select("part", "first", "doc_ids", "lengths", "data").mapInArrow(run, fields)
+    return dealt.mapInArrow(run, f"part long, segment long, doc_ids array<{kind}>, lengths array<long>, first long, n_tokens long, data binary")

@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm import bpe, chunks, packing, pfor
+from tallyloom.llm import bpe, chunks, id_files, packing, pfor
 
 ODD = [" ", " ", "\n", "\t", "\x1c", "\x85", "\xa0", "​", "　", "a", "Bc", "é", "1", "²", "!", "'", "'s", "'LL", "漢", "\U0001f642", "<|endoftext|>", "ͅ", "İ", "Σ", "\x00", "٣"]
 
@@ -89,13 +89,12 @@ def test_outliers_do_not_widen_a_block():
         pfor.Segment(pfor.pack(ids)[:-1])
 
 
-def test_token_files(spark, table):
+def test_token_files(spark, table, tmp_path):
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    segments = pfor.write_segments(table, path, end_id=2, segment=900)
-    assert segments.count() > 5
-    got = sorted(pfor.read_documents(segments).collect(), key=lambda r: r.start)
+    out = id_files.save_ids(pfor.segments_of(table, path, end_id=2, segment=900), f"file://{tmp_path}/ids")
+    got = sorted(id_files.load_ids(spark, out).collect(), key=lambda r: r.start)
     assert [r.doc_id if r.doc_id is not None else -1 for r in got] == sorted(r.doc_id if r.doc_id is not None else -1 for r in table.collect())
     start, own = 0, defaultdict(list)
     for r in table.collect():
@@ -104,7 +103,17 @@ def test_token_files(spark, table):
         assert r.start == start and r.n_tokens == len(r.ids) and r.ids in own[r.doc_id]
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
         start += r.n_tokens
-    assert pfor.read_documents(pfor.write_segments(table.limit(0), path, end_id=2)).collect() == []
+    none = id_files.save_ids(pfor.segments_of(table.limit(0), path, end_id=2), f"{tmp_path}/none")
+    assert id_files.load_ids(spark, none, with_ids=False).collect() == []
+    # The files stand for themselves: without Spark, in the order of their names, they hold the same.
+    files = sorted((tmp_path / "ids").glob("*.pfr"))
+    alone, at = [], 0
+    for f in files:
+        docs, lengths, first, ids = id_files.load(f.read_bytes())
+        ends = np.cumsum(lengths)
+        alone += [(d, at + int(a), ids[a:b].tolist()) for d, a, b in zip(docs, ends - lengths, ends, strict=True)]
+        at += len(ids)
+    assert len(files) > 5 and alone == [(r.doc_id, r.start, r.ids) for r in got]
 
 
 def test_packing(spark, table):
