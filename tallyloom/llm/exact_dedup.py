@@ -1,11 +1,11 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
-Every input partition becomes a run: its rows by digest, one for each (digest, best row, size). The runs are dealt out once by
-digest range (the digest's first bytes), and every range then holds a stretch of each run. In each binomial round, within its
-range and without another exchange, FAN_IN neighbouring runs are merged: a sort aggregate walks the sorted rows, keeps the
-best row of every digest and adds up the sizes. A group of copies, however large, leaves one row per run before anything is
-dealt out, and no round sees more than FAN_IN rows of it in one merge. The digest is SHA-256; every level also
-holds the byte length and a second, independent 64-bit hash against it, so rows merge only where all three agree.
+Every input partition becomes a run: its rows sorted by digest, one for each (digest, best row, size). In each binomial round FAN_IN neighbouring
+runs meet: they are exchanged by the run that they make and by a range of digests, sorted again by digest where they arrive (what arrives is FAN_IN sorted
+stretches), and a sort aggregate walks them, keeps the best row of every digest and adds up the sizes. The ranges are cut by the digest's first bytes,
+so that a round has as many tasks as the one before, though it has fewer runs. A group of copies, however large, leaves one row per
+run before anything is exchanged, and no merge sees more than FAN_IN rows of it. The digest is SHA-256; every level also holds the byte
+length and a second, independent 64-bit hash against it, so rows merge only where all three agree.
 """
 
 from __future__ import annotations
@@ -59,10 +59,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "run",
     )
-    state = state.withColumn("range", F.substring("digest", 1, RANGE_BYTES)).repartition("range")
+    first_bytes = F.conv(F.hex(F.substring("digest", 1, RANGE_BYTES)), 16, 10).cast("long")
+    ranges = runs
     while runs > 1:
-        state = merged(state.withColumn("run", F.expr(f"cast(run div {fan_in} as int)")), "range", "run")
         runs = -(-runs // fan_in)
+        # As many ranges to a run as keep the number of tasks: neighbouring digests lie in one range.
+        range_of = F.shiftright(first_bytes * max(1, ranges // runs), 8 * RANGE_BYTES)
+        state = merged(state.withColumns({"run": F.expr(f"cast(run div {fan_in} as int)"), "range": range_of}).repartition("run", "range"), "run", "range")
     groups = state.select(*key, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "size")
     return rows.join(groups, key).select(
         F.col("id").alias(id_col),
