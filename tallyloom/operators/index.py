@@ -9,9 +9,11 @@ Flags alone make 2**15 cells at most, so the driver holds a bounded table of cel
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,27 +89,45 @@ def bounds(flags: np.ndarray, numbers: np.ndarray, cell_flags: np.ndarray, low:
     return least, most
 
 
-def near_pairs(
-    records: DataFrame, tests: DataFrame, k: int, least: int | None = None, margin: Column | None = None, most_cells: int = MOST_CELLS, counted: DataFrame | None = None
-) -> DataFrame:
-    """Of similar.candidates(records, tests, least), all of every test's k most similar, and of others some: the same columns.
+@dataclass(frozen=True)
+class Index:
+    """The cells of a table of records, on the driver and broadcast: most_cells rows at most. None where there would be more."""
 
-    margin, over the columns of tests, asks for all whose similarity is less than the k-th best's by that much at most. Ties are kept. Tests and
-    records are told apart by pos alone, as there. counted are the records that decide which complexity bands a test looks at, if they aren't records. A test costs a few operations for each cell, and one comparison for each record of
-    the cells that may matter.
-    """
+    count: int
+    step: int
+    bands: Column
+    least: int | None
+    cells: Broadcast | None
+
+
+def index_of(records: DataFrame, least: int | None = None, most_cells: int = MOST_CELLS) -> Index:
+    """least: how many candidates a test should have before its complexity band is widened; None takes all records."""
     table, step = _cells(records, most_cells)
     if table is None:
-        return similar.candidates(records, tests, least, counted=counted)
+        return Index(records.count(), 0, similar.allowed_bands(records, least), least, None)
+    band, n = table.column("band").to_numpy(), table.column("n").to_numpy()
     cells = {
         "cell": table.column("cell").to_numpy(),
-        "band": table.column("band").to_numpy(),
-        "n": table.column("n").to_numpy(),
+        "band": band,
+        "n": n,
         "flags": _states([table.column(c).combine_chunks() for c in FLAG_FEATURES]),
         "low": np.stack([table.column(f"lo_{c}").to_numpy() for c in NUMERIC_FEATURES], axis=1),
         "high": np.stack([table.column(f"hi_{c}").to_numpy() for c in NUMERIC_FEATURES], axis=1),
     }
-    shared = records.sparkSession.sparkContext.broadcast(cells)  # most_cells rows at most
+    counts = {int(b): int(n[band == b].sum()) for b in np.unique(band)}
+    return Index(int(n.sum()), step, similar.bands_for(counts, least), least, records.sparkSession.sparkContext.broadcast(cells))
+
+
+def near_pairs(records: DataFrame, tests: DataFrame, k: int, index: Index, margin: Column | None = None) -> DataFrame:
+    """Of similar.candidates(records, tests, least), all of every test's k most similar, and of others some: the same columns.
+
+    index is that of records, or of a table of which records keeps the first k + 1 by pos of equal features. margin, over the columns of tests, asks for all
+    whose similarity is less than the k-th best's by that much at most. Ties are kept. Tests and records are told apart by pos alone, as there. A test costs a
+    few operations for each cell, and one comparison for each record of the cells that may matter.
+    """
+    if index.cells is None:
+        return similar.candidates(records, tests, index.least, bands=index.bands)
+    shared, step = index.cells, index.step
     own = F.struct(*FEATURES)
     asked = tests.select(
         F.col("pos").alias("test_pos"),
@@ -118,7 +138,7 @@ def near_pairs(
         *(F.coalesce(F.col(c), F.lit(0)).cast("double").alias("n_" + c) for c in NUMERIC_FEATURES),
         own.alias("a"),
     )
-    asked = asked.withColumn("bands", similar.allowed_bands(records if counted is None else counted, least))
+    asked = asked.withColumn("bands", index.bands)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
@@ -154,11 +174,12 @@ def near_pairs(
     return joined.filter("pos <> test_pos").select("test_pos", "test_id", "pos", "id", similar.similarity().alias("similarity"))
 
 
-def most_similar(records: DataFrame, tests: DataFrame, k: int, least: int | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
+def most_similar(records: DataFrame, tests: DataFrame, k: int, least: int | None = None, index: Index | None = None) -> DataFrame:
     """similar.nearest(similar.candidates(records, tests, least), k), by way of the cells.
 
     Of records with the same features only the first k + 1 by pos can be among anyone's k nearest; no others are joined.
     """
+    index = index or index_of(records, least)
     w = Window.partitionBy(*FEATURES).orderBy("pos")
     first = records.withColumn("__copy", F.row_number().over(w)).filter(F.col("__copy") <= k + 1).drop("__copy")
-    return similar.nearest(near_pairs(first, tests, k, least, most_cells=most_cells, counted=records), k)
+    return similar.nearest(near_pairs(first, tests, k, index), k)

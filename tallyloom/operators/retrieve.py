@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.operators.index import most_similar, near_pairs
+from tallyloom.operators.index import index_of, most_similar, near_pairs
 from tallyloom.operators.similar import candidates, nearest, similarity
 from tallyloom.plans.dims import DIMENSIONS, FEATURES
 from tallyloom.sources.lineage import cut
@@ -31,16 +31,17 @@ def mmr_examples(records: DataFrame, tests: DataFrame, k: int) -> DataFrame:
     pos. A candidate that couldn't win even at the greatest distance that grades allow is left out beforehand, which changes no
     pick and leaves a pool of about k for the one grouped step.
     """
-    total = records.count()
+    ends = records.agg(F.count("*").alias("n"), F.max(F.array_max("grades")).alias("hi"), F.min(F.array_min("grades")).alias("lo")).first()
+    total = ends.n
     k = min(k, total - 1)
     if k <= 0:
         return candidates(records, tests).limit(0).withColumn("rank", F.lit(1)).select("test_pos", "test_id", "rank", "pos", "id", "similarity")
     least = min(total - 1, max(2 * k, k + 2))
-    ends = records.agg(F.max(F.array_max("grades")).alias("hi"), F.min(F.array_min("grades")).alias("lo")).first()
+    index = index_of(records, least)
     reach = float(max(ends.hi or 0, 0) - min(ends.lo or 0, 0))
-    weights = cut(mmr_weights(most_similar(records, tests, 8, least)).drop("test_id"))
+    weights = cut(mmr_weights(most_similar(records, tests, 8, least, index)).drop("test_id"))
     weighed = tests.join(weights.withColumnRenamed("test_pos", "pos"), "pos")
-    pairs = near_pairs(records, weighed, k, least, margin=F.col("diversity_weight") * reach / F.col("similarity_weight"))
+    pairs = near_pairs(records, weighed, k, index, margin=F.col("diversity_weight") * reach / F.col("similarity_weight"))
     w = Window.partitionBy("test_pos")
     ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(F.col("similarity").desc(), "pos")))
     kth = ranked.filter(F.col("rank") == k).select("test_pos", F.col("similarity").alias("kth"))

@@ -38,9 +38,13 @@ def allowed_bands(records: DataFrame, least: int | None) -> Column:
 
     Only three counts reach the driver. The record itself is not a candidate.
     """
+    return bands_for({} if least is None else {r[0]: r[1] for r in records.groupBy(complexity_band().alias("band")).count().collect()}, least)
+
+
+def bands_for(n: dict[int, int], least: int | None) -> Column:
+    """allowed_bands() from the records' counts by band."""
     if least is None:
         return F.array(F.lit(0), F.lit(1), F.lit(2))
-    n = {r[0]: r[1] for r in records.groupBy(complexity_band().alias("band")).count().collect()}
     total = sum(n.values())
     out = None
     for band in range(3):
@@ -52,10 +56,11 @@ def allowed_bands(records: DataFrame, least: int | None) -> Column:
     return out
 
 
-def candidates(records: DataFrame, tests: DataFrame, least: int | None = None, salts: int = SALTS, counted: DataFrame | None = None) -> DataFrame:
+def candidates(records: DataFrame, tests: DataFrame, least: int | None = None, salts: int = SALTS, bands: Column | None = None) -> DataFrame:
     """(test_pos, test_id, pos, id, similarity) of every test and its candidates.
 
-    least: how many candidates a test should have before its complexity band is widened; None takes all records. Candidates are
+    least: how many candidates a test should have before its complexity band is widened; None takes all records. bands: allowed_bands(), if it
+    is known. Candidates are
     dealt out by band and salt, tests are repeated for each salt, so that three bands don't mean three tasks.
     """
     features = lambda a: [F.struct(*(F.col(c) for c in FEATURES)).alias(a)]
@@ -64,7 +69,7 @@ def candidates(records: DataFrame, tests: DataFrame, least: int | None = None, s
     right = records.select("pos", "id", salt, band, *features("b"))
     left = (
         tests.select(F.col("pos").alias("test_pos"), F.col("id").alias("test_id"), band, *features("a"))
-        .withColumn("band", F.explode(allowed_bands(records if counted is None else counted, least)))
+        .withColumn("band", F.explode(allowed_bands(records, least) if bands is None else bands))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     return left.join(right, ["band", "salt"]).filter("pos <> test_pos").select("test_pos", "test_id", "pos", "id", similarity().alias("similarity"))

@@ -37,7 +37,7 @@ def told(df):
 def test_same_rows_as_all_pairs(spark, records, k, least, cells):
     tests = records.filter("pos % 23 = 0")
     want = told(similar.nearest(similar.candidates(records, tests, least), k))
-    assert told(index.most_similar(records, tests, k, least, most_cells=cells)) == want and want
+    assert told(index.most_similar(records, tests, k, index=index.index_of(records, least, cells))) == want and want
 
 
 def test_margin_and_fewer_comparisons(spark, records):
@@ -45,7 +45,7 @@ def test_margin_and_fewer_comparisons(spark, records):
     whole = similar.candidates(records, tests)
     kth = similar.nearest(whole, 4).filter("rank = 4").select("test_pos", F.col("similarity").alias("kth"))
     want = {(r.test_pos, r.pos) for r in whole.join(kth, "test_pos").filter("similarity >= kth - 1.5").collect()}
-    got = {(r.test_pos, r.pos) for r in index.near_pairs(records, tests, 4, margin=F.lit(1.5)).collect()}
+    got = {(r.test_pos, r.pos) for r in index.near_pairs(records, tests, 4, index.index_of(records), margin=F.lit(1.5)).collect()}
     assert want <= got and len(got) < whole.count() / 2
 
 
