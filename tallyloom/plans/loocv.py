@@ -20,12 +20,12 @@ def enrich(sheet: DataFrame, raw: DataFrame) -> DataFrame:
     """Label rows with the features, answers and scores of their projects, one record for each row.
 
     raw is (project_id, json). Rows without a project id, or whose project's JSON is missing, null or `{}`, go; a project with no targets
-    stays. Returns pos (the order of the sheet's rows), id, grades (array in the order of DIMENSIONS), the features, answers and
+    stays; of several texts of one project, the least counts. Returns pos (the order of the sheet's rows), id, grades (array in the order of DIMENSIONS), the features, answers and
     model_scores (structs). A project that can't be parsed counts as one without targets.
     """
     labelled = evaluate.project_ids(sheet.withColumn("_row", F.monotonically_increasing_id()))
     labelled = labelled.select("_row", "project_id", F.array(*evaluate.sheet_grades(sheet).values()).alias("grades"))
-    there = raw.filter(F.col("json").isNotNull() & ~F.trim("json").isin("", "null", "{}")).dropDuplicates(["project_id"])
+    there = raw.filter(F.col("json").isNotNull() & ~F.trim("json").isin("", "null", "{}")).groupBy("project_id").agg(F.min("json").alias("json"))
     projects = parse_projects(there)
     context = features.project_context(projects)
     answers = features.atomic_answers(context)
@@ -59,6 +59,9 @@ class Settings:
     limit: int = 0
     balanced: int = 0
     partitions: int | None = None
+    window: int = 1
+    retries: int = 2
+    store: str | None = None
     make_provider: Callable[[], provider.Provider] = field(default=provider.fixed_answers)
 
 
@@ -98,7 +101,11 @@ def leave_one_out(records: DataFrame, settings: Settings = Settings()) -> DataFr
     else:
         prompts = asked.select("test_pos", F.lit(0).alias("part"), prompt.STYLES[settings.style](F.col("features"), F.col("examples")).alias("prompt"))
     prompts = prompts.withColumn("pass", F.explode(F.array(*map(F.lit, range(settings.passes)))))
-    answers = cut(provider.answer(prompts, settings.make_provider, settings.partitions).drop("prompt"))
+    how = {"partitions": settings.partitions, "window": settings.window, "retries": settings.retries}
+    if settings.store:  # a later run asks only for what this one didn't get
+        answers = provider.answer_stored(prompts, settings.make_provider, settings.store, by=("pass",), **how).drop("prompt")
+    else:
+        answers = cut(provider.answer(prompts, settings.make_provider, **how).drop("prompt"))
     read = parse.grades(answers, "test_pos", "part", "pass")
     one = read.groupBy("test_pos", "pass", "dimension").agg(F.max_by("grade", "part").alias("predicted"))
     voted = evaluate.vote(one.withColumnRenamed("test_pos", "sample_id"), settings.aggregate).withColumnRenamed("sample_id", "test_pos")
