@@ -17,11 +17,7 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-_TARGET = (
-    "isStage boolean, name string, blocks map<string,string>, variables map<string,string>, lists map<string,string>,"
-    " comments map<string,string>, sounds array<string>, costumes array<string>"
-)
-_BLOCK = "opcode string, parent string, fields map<string,string>"
+_MAP = "map<string,variant>"
 
 
 @dataclass(frozen=True)
@@ -35,71 +31,67 @@ class Projects:
     comments: DataFrame
 
 
-def _entries(column: Column) -> Column:
-    return F.coalesce(F.size(column), F.lit(0))
+def _map(value: Column, path: str = "$") -> Column:
+    """What stands at path as a map of variants; null unless it is an object."""
+    return F.try_variant_get(value, path, _MAP)
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, path, "string")
 
 
 def parse_projects(raw: DataFrame, id_col: str = "project_id", json_col: str = "json", keep: bool = True) -> Projects:
     """Raw JSON texts, one project to a row, as Projects.
 
-    Parsing goes by parts, each of which can fail alone: the project's targets, each target, each block. A block that is no object is
-    skipped, never its neighbours. A null, empty or unreadable text is a project without targets, with parse_error set where
-    there was text that is no object; so is `{}`, which has no targets. keep=True writes the parsed targets once to
-    the shared folder, as all four tables come from them.
+    A text is parsed once, into one variant; all tables are cut out of that, without reading text again. What is of another kind than it should
+    be is passed over alone: a target or a block that is no object, a name that is no list. A null or empty text, and one that is no JSON
+    (an object that names a key twice is none), is a project without targets, with parse_error set where there was text that is no
+    object; `{}` has no targets either. keep=True writes the targets' variants once to the shared folder, as four tables come from them.
     """
-    whole = F.from_json(F.col(json_col), "struct<targets:array<string>>")
-    read = raw.select(
-        F.col(id_col).alias("project_id"),
-        F.col(json_col).alias("json"),
-        whole.alias("p"),
-    )
+    read = raw.select(F.col(id_col).alias("project_id"), F.col(json_col).alias("json"), F.try_parse_json(F.col(json_col)).alias("v"))
+    text = F.trim("json")
     projects = read.select(
         "project_id",
-        F.coalesce((F.length(F.trim("json")) > 0) & F.col("p.targets").isNull() & ~F.trim("json").startswith("{"), F.lit(False)).alias("parse_error"),
-        F.coalesce(F.trim("json").isin("", "{}", "null"), F.lit(True)).alias("is_empty"),
+        F.coalesce((F.length(text) > 0) & _map(F.col("v")).isNull(), F.lit(False)).alias("parse_error"),
+        F.coalesce(text.isin("", "{}", "null"), F.lit(True)).alias("is_empty"),
+    )
+    parsed = (
+        read.select("project_id", F.posexplode(F.try_variant_get("v", "$.targets", "array<variant>")).alias("target_idx", "t"))
+        .filter(_map(F.col("t")).isNotNull())
     )
-    parsed = read.select("project_id", F.posexplode("p.targets").alias("target_idx", "text")).select(
-        "project_id", "target_idx", F.from_json("text", _TARGET).alias("t")
-    ).filter("t is not null")
     if keep:
         parsed = cut(parsed)
-    stage = F.coalesce("t.isStage", F.lit(False))
-    name = F.coalesce("t.name", F.lit(""))
+    t = F.col("t")
+    entries = lambda c: F.coalesce(F.size(_map(t, f"$.{c}")), F.lit(0)).cast("long").alias(c)
+    listed = lambda c: F.coalesce(F.size(F.try_variant_get(t, f"$.{c}", "array<variant>")), F.lit(0)).cast("long").alias(c)
+    stage = F.coalesce(F.try_variant_get(t, "$.isStage", "boolean"), F.lit(False))
+    name = F.coalesce(_text(t, "$.name"), F.lit(""))
     targets = parsed.select(
-        "project_id",
-        "target_idx",
-        name.alias("target_name"),
-        stage.alias("is_stage"),
-        *(_entries(F.col(f"t.{c}")).cast("long").alias(c) for c in ("variables", "lists", "sounds", "costumes")),
+        "project_id", "target_idx", name.alias("target_name"), stage.alias("is_stage"), entries("variables"), entries("lists"), listed("sounds"), listed("costumes")
     )
-    block = F.from_json("block", _BLOCK)
-    option = F.get(F.from_json(F.col("b.fields")["BROADCAST_OPTION"], "array<string>"), 0)
+    b = F.col("b")
+    opcode = F.coalesce(_text(b, "$.opcode"), F.lit(""))
     blocks = (
-        parsed.select("project_id", "target_idx", name.alias("target_name"), F.explode("t.blocks").alias("block_id", "block"))
-        .filter(F.ltrim("block").startswith("{"))
-        .select("project_id", "target_idx", "target_name", "block_id", block.alias("b"))
+        parsed.select("project_id", "target_idx", name.alias("target_name"), F.explode(_map(t, "$.blocks")).alias("block_id", "b"))
+        .filter(_map(b).isNotNull())
         .select(
             "project_id",
             "target_idx",
             "target_name",
             "block_id",
-            F.coalesce("b.opcode", F.lit("")).alias("opcode"),
-            F.nullif("b.parent", F.lit("")).alias("parent_id"),
-            F.when(F.coalesce("b.opcode", F.lit("")).rlike("^event_(broadcast|whenbroadcastreceived)"), option).alias("broadcast_name"),
+            opcode.alias("opcode"),
+            F.nullif(_text(b, "$.parent"), F.lit("")).alias("parent_id"),
+            F.when(opcode.rlike("^event_(broadcast|whenbroadcastreceived)"), _text(b, "$.fields.BROADCAST_OPTION[0]")).alias("broadcast_name"),
         )
     )
     named = [
-        parsed.select("project_id", F.lit(kind).alias("kind"), F.explode(f"t.{column}").alias("key", "value")).select(
-            "project_id", "kind", F.get(F.from_json("value", "array<string>"), 0).alias("name")
+        parsed.select("project_id", F.lit(kind).alias("kind"), F.explode(_map(t, f"$.{column}")).alias("key", "value")).select(
+            "project_id", "kind", _text(F.col("value"), "$[0]").alias("name")
         )
         for kind, column in (("variable", "variables"), ("list", "lists"))
     ]
-    comments = parsed.select("project_id", F.explode("t.comments").alias("key", "value")).select(
-        "project_id", F.get_json_object("value", "$.text").alias("text")
-    )
-    return Projects(
-        projects, targets, blocks, named[0].union(named[1]).filter("name is not null"), comments.filter("text <> ''")
-    )
+    comments = parsed.select("project_id", F.explode(_map(t, "$.comments")).alias("key", "value")).select("project_id", _text(F.col("value"), "$.text").alias("text"))
+    return Projects(projects, targets, blocks, named[0].union(named[1]).filter("name is not null"), comments.filter("text <> ''"))
 
 
 def read_projects(spark, path: str, keep: bool = True) -> Projects:

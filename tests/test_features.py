@@ -81,6 +81,20 @@ def test_empty_odd_and_broken_projects(spark):
     assert errors[5] and not errors[0] and not errors[2] and not errors[4]
 
 
+def test_parts_of_the_wrong_kind_are_passed_over(spark):
+    odd = (
+        '{"targets":[1,null,{"name":5,"isStage":"x","blocks":{"a":[1],"b":{"opcode":7,"parent":null,"fields":{}},"c":null,"d":"s",'
+        '"e":{"opcode":"event_broadcast","fields":{"BROADCAST_OPTION":["m",null]}},"f":{"opcode":"event_broadcast","fields":{"BROADCAST_OPTION":"m"}}},'
+        '"variables":{"v":["score",0],"w":"x","y":[]},"lists":[1],"sounds":[1,2],"costumes":{},"comments":{"c":{"text":"hi"},"d":"no"}}]}'
+    )
+    p = project(spark, odd, '{"targets":{}}', "[1]", "nonsense", '{"a":1,"a":2}', "", "{}", '{"targets":null}')
+    assert [r.parse_error for r in p.projects.orderBy("project_id").collect()] == [False, False, True, True, True, False, False, False]
+    (t,) = p.targets.collect()
+    assert (t.target_idx, t.target_name, t.is_stage, t.variables, t.lists, t.sounds, t.costumes) == (2, "5", False, 3, 0, 2, 0)
+    assert sorted((r.block_id, r.opcode, r.parent_id, r.broadcast_name) for r in p.blocks.collect()) == [("b", "7", None, None), ("e", "event_broadcast", None, "m"), ("f", "event_broadcast", None, None)]
+    assert [(r.kind, r.name) for r in p.names.collect()] == [("variable", "score")] and [r.text for r in p.comments.collect()] == ["hi"]
+
+
 def chain(n, opcode="control_if"):
     return {str(i): block(opcode, str(i - 1) if i else None) for i in range(n)}
 
