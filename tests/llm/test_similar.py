@@ -203,6 +203,20 @@ def test_vectors_of_a_dense_group_keep_their_links(spark):
     assert {got[i].component_id for i in range(1500)} == {0}
 
 
+def test_recall_of_groups_of_many_sizes_as_found(spark):
+    """near_groups() itself, as it is by default, against every pair."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sizes = [300, *[40] * 6, *[5] * 40, *[2] * 100]
+    parts = [unit(np.sqrt(c) * unit(rng.normal(size=(1, 32))) + np.sqrt(1 - c) * unit(rng.normal(size=(n, 32)))) for n, c in zip(sizes, rng.uniform(0.94, 0.99, len(sizes)), strict=True)]
+    x = np.vstack([*parts, unit(rng.normal(size=(1500, 32)))])
+    got = {r.vec_id: r for r in near_groups(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)).collect()}
+    linked = x @ x.T >= 0.95
+    np.fill_diagonal(linked, False)
+    true = linked.sum(axis=1)
+    assert all(got[i].n_links <= true[i] for i in range(len(x))) and sum(r.n_links for r in got.values()) >= 0.9 * true.sum() > 1000
+
+
 def test_recall_of_the_index_with_its_own_parameters():
     """50,000 vectors, half of them in groups of 2 to 5,000; a group's links against what the index lets be compared."""
     from tallyloom.llm import near_vectors as nv
@@ -320,3 +334,19 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     assert unlike == {order[c] for c in groups_of([lined[i].text for i in order], 5, 80)[1].values()}
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows} == unlike and len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 2048) + 1
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    """No rows give none; nulls, empty and equal texts, equal and missing ids go through, and every text that is left is packed once."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = "a plain sentence of some words " * 10
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, good, "en", "s", 300), (4, good, "en", "t", 300), (4, good + "and more", "en", "t", 1), (None, good * 3, "en", None, 2), (None, None, "en", "s", 3)]
+    labels = [(3, 1, 0), (4, 1, 0), (None, 1, 1), (5, None, None), (77, 0, 1)]
+    for name, docs in (("none", []), ("odd", rows)):
+        spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(labels, LABELS).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    left = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()]
+    assert 3 in left and left.count(4) <= 2 and None in left
