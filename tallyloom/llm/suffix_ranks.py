@@ -51,15 +51,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(data: np.ndarray, k: int) -> np.ndarray:
-    """A rank of the k bytes at every position that has k."""
+def grams(data: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
+    """A rank of the k bytes at every position that has k; another one for every salt."""
     n = len(data) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     padded = data.tobytes() + bytes(8)
     words = np.ndarray((len(data),), "<u8", padded, 0, (1,)).astype(np.uint64)
     if k < 8:
-        return mix((words[:n] & np.uint64((1 << 8 * k) - 1)) * _A + _C)
+        words &= np.uint64((1 << 8 * k) - 1)
+    if salt:
+        words = mix(words + _C * np.uint64(salt))
     out = words[:n] * _A
     for at in [*range(8, k - 8, 8), k - 8] if k > 8 else []:
         out = mix(out + _C) + words[at : at + n] * _B
@@ -104,9 +106,13 @@ def runs_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, length: int,
     return piece[own], at, windows, mix(low[at]), mix(content + windows.astype(np.uint64) * _C)
 
 
-def window_ranks(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Ranks of the length bytes at each of at: pairs of ranks at offset gram, as long as it fits, then one that ends with the string."""
-    rank = grams(data, gram)
+def window_ranks(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent ranks of the length bytes at each of at: equal strings agree in both, others in 128 bits of hash."""
+    return _window_rank(grams(data, gram), at, length, gram), _window_rank(grams(data, gram, 1), at, length, gram)
+
+
+def _window_rank(rank: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Pairs of ranks at offset gram, as long as it fits, then one that ends with the string."""
     out, reach = rank[at], gram
     while reach + gram <= length:
         out = mix(out * _A + rank[at + reach])
@@ -412,12 +418,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 flat = bytes_at(data, begin[some], w + length - 1)
                 ranks = window_ranks(flat, _spread(np.cumsum(w + length - 1) - (w + length - 1), w), length, gram)
                 d, a = np.repeat(doc[some], w), _spread(at[some], w)
-                by, later, _ = settled(order[d], ranks)
+                by, later, _ = settled(order[d], *ranks)
                 gone, left = by[later], by[~later]
                 ones = np.ones(len(d), np.int64)
                 gd, ga, gw = _joined(d[gone], a[gone], ones[gone])
                 yield from _dealt(REMOVED, _parts(order, rank, ranges)[gd], order, rank, gd, ga, gw)
-                yield from _dealt(HOT, _range(ranks[left], hot_ranges), order, rank, d[left], a[left], ones[left], ranks[left])
+                yield from _dealt(HOT, _range(ranks[0][left], hot_ranges), order, rank, d[left], a[left], ones[left], ranks[0][left], ranks[1][left])
 
     def sort_windows(group: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = group[0].as_py()
@@ -425,7 +431,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from (b.select(["kind", "place", "windows", "blob"]) for b in batches)
             return
         if kind == HOT:
-            order, rank, doc, at, _, ranks = gathered(batches)
+            order, rank, doc, at, _, *ranks = gathered(batches)
         else:
             held, bodies, n = [], [], 0
             for batch in batches:
@@ -440,7 +446,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             whole = windows + length - 1
             ranks = window_ranks(body, _spread(np.cumsum(whole) - whole, windows), length, gram)
             doc, at = np.repeat(doc, windows), _spread(at, windows)
-        by, later, _ = settled(order[doc], ranks)
+        by, later, _ = settled(order[doc], *ranks)
         gone = by[later]
         d, a, w = _joined(doc[gone], at[gone], np.ones(len(gone), np.int64))
         yield from _dealt(REMOVED, _parts(order, rank, ranges)[d], order, rank, d, a, w)

@@ -73,8 +73,8 @@ def test_empty_and_short(spark):
 def test_parts():
     data = np.frombuffer(bytes(range(60)) * 3, np.uint8)
     for k in (1, 3, 8, 13, 20):
-        ranks = grams(data, k)
-        assert len(ranks) == 181 - k and all((ranks[i] == ranks[j]) == (data[i : i + k].tobytes() == data[j : j + k].tobytes()) for i in range(0, 70) for j in range(0, 120, 7))
+        for ranks in (grams(data, k), grams(data, k, 1)):
+            assert len(ranks) == 181 - k and all((ranks[i] == ranks[j]) == (data[i : i + k].tobytes() == data[j : j + k].tobytes()) for i in range(0, 70) for j in range(0, 120, 7))
     x = np.random.default_rng(1).integers(0, 99, 50)
     assert all(least(x, w).tolist() == [min(x[i : i + w]) for i in range(51 - w)] for w in (1, 2, 5, 31, 50))
     columns = [np.arange(5, dtype=np.uint64), np.empty(0, np.int64), np.array([1, 2], np.uint8)]
