@@ -27,6 +27,8 @@ MAGIC = b"PFR1"
 BLOCK = 512
 PERCENT = 90
 SEGMENT = 1_000_000
+#: Estimated bytes of chunks that a worker remembers: the data source has workers of its own beside those that encode.
+CHUNK_MEMO = 160_000_000
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -124,7 +126,7 @@ def segments_of(
 
         for batch in batches:
             id_type = batch.column("id").type
-            for doc, packed in zip(batch.column("id").to_pylist(), encoder_of(path, SPACED)(batch.column("text")), strict=True):
+            for doc, packed in zip(batch.column("id").to_pylist(), encoder_of(path, SPACED, CHUNK_MEMO)(batch.column("text")), strict=True):
                 held.append(packed + end)
                 ids.append(doc)
                 lengths.append(len(packed) // 4 + 1)
