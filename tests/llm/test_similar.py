@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm import ngram_join, quality
 from tallyloom.llm.near_vectors import near_groups
 from tallyloom.llm.ngram_join import drop_near_copies, jaccard_groups, search_block
-from tallyloom.llm.shared import connected_components, may_hold, without
+from tallyloom.llm.shared import connected_components, cut, may_hold, without
 
 
 def components(nodes, links):
@@ -79,6 +79,42 @@ def test_groups_against_brute_force(spark, corpus, words, percent, block, monkey
         assert (got[i].n_shingles, got[i].component_id) == (len(own[i]), want[i]), i
 
 
+@pytest.mark.parametrize("least", [40, 1_000_000])
+def test_waves_lose_no_link(spark, corpus, least, monkeypatch):
+    waves, plain = [], ngram_join._in_waves
+    monkeypatch.setattr(ngram_join, "_in_waves", lambda rows, by, n, *rest: waves.append(n) or plain(rows, by, n, *rest))
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "WAVE_LEAST", least)
+    monkeypatch.setattr(ngram_join, "WAVE_SHARE", 1000)
+    df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_groups(df.repartition(3), words=2, percent=50).collect()}
+    assert got == groups_of(corpus, 2, 50)[1]
+    assert (max(waves) > 1) == (least == 40)
+
+
+def test_sets_of_texts_that_share_nothing_are_not_written(spark, monkeypatch):
+    written, plain = {}, ngram_join.cut
+
+    def cut(df):
+        out = plain(df)
+        written.setdefault("set" in out.columns, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", cut)
+    texts = [" ".join(f"{i}w{k}" for k in range(50)) for i in range(40)] + ["a b c d e f g h"] * 2
+    rows = jaccard_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.component_id for r in rows} == set(range(41))
+    assert max(written[False]) >= 42 and written[True] == [0]
+
+
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    left = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    before = left().size()
+    cut(spark.range(1000).repartition(7, "id"))
+    assert left().size() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_one_of_each_group_stays(spark, corpus):
     df = spark.createDataFrame(list(enumerate(corpus)), "doc_id long, text string")
     kept = {r.doc_id for r in drop_near_copies(df).collect()}
