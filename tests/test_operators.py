@@ -295,3 +295,17 @@ def test_json_depth_has_no_cap(spark):
     texts = ["[" * 500 + "]" * 500, '{"a": "' + "x" * 100_000 + '\\\\"}', "", '"["', '[{"a": []}, []]']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.d for r in df.select(json_depth(F.col("t")).alias("d")).collect()] == [500, 1, 0, 0, 3]
+
+
+def test_facts_and_votes_of_a_small_file_are_made_by_many_tasks(spark, monkeypatch):
+    from tallyloom.plans import corpus
+
+    monkeypatch.setattr(corpus, "SPREAD_ROWS", 20)
+    facts = corpus.grade_facts(spark, "/root/testdata/sf0.001")
+    n = facts.select("sample_id").distinct().count()
+    assert facts.rdd.getNumPartitions() == -(-n // 20)
+    sizes = facts.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 20 * 20 * 3
+    voted = ev.vote(corpus.pass_facts(spark, "/root/testdata/sf0.001"))
+    assert voted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # each task groups its own samples
+    assert voted.count() == 20 * n
