@@ -49,6 +49,29 @@ def test_margin_and_fewer_comparisons(spark, records):
     assert want <= got and len(got) < whole.count() / 2
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_mmr_by_kinds_of_grades_picks_the_same_from_fewer_pairs(spark, records, k, monkeypatch):
+    six = records.withColumn("grades", F.array(*((F.col("pos") * 7 % 6 + i) % 6 for i in range(len(DIMENSIONS)))).cast("array<int>"))
+    tests, pools, plain = six.filter("pos % 23 = 0"), [], retrieve.near_pairs
+    monkeypatch.setattr(retrieve, "near_pairs", lambda *a, **b: pools.append(plain(*a, **b)) or pools[-1])
+    got = told(retrieve.mmr_examples(six, tests, k))
+    monkeypatch.setattr(retrieve, "MOST_KINDS", 0)
+    assert got == told(retrieve.mmr_examples(six, tests, k)) and len(got) == k * tests.count()
+    few, all_ = (p.count() for p in pools)
+    assert few < all_
+
+
+def test_tests_are_dealt_out_to_tasks_and_looked_at_few_at_a_time(spark, records, monkeypatch):
+    tests = records.filter("pos % 23 = 0")
+    want = told(index.most_similar(records, tests, 3))
+    monkeypatch.setattr(index, "AT_ONCE", 1)
+    monkeypatch.setattr(index, "IN_TASK", 500)
+    pairs = index.most_similar(records, tests, 3)
+    assert told(pairs) == want
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(1)
     n = len(NUMERIC_FEATURES)
