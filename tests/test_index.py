@@ -72,6 +72,31 @@ def test_tests_are_dealt_out_to_tasks_and_looked_at_few_at_a_time(spark, records
     assert "REPARTITION_BY_NUM" in plan
 
 
+def test_records_of_the_same_features_are_one_test_with_the_same_picks(spark, records, monkeypatch):
+    six = records.withColumn("grades", F.array(*((F.col("pos") * 7 % 6 + i) % 6 for i in range(len(DIMENSIONS)))).cast("array<int>"))
+    seen, plain = [], retrieve.near_pairs
+    monkeypatch.setattr(retrieve, "near_pairs", lambda r, t, *a: seen.append(t.count()) or plain(r, t, *a))
+    got = told(retrieve.mmr_held_out(six, 2))
+    assert seen == [six.select(*FLAG_FEATURES, *NUMERIC_FEATURES).distinct().count()] and seen[0] < six.count()
+    monkeypatch.undo()
+    assert got == told(retrieve.mmr_examples(six, six, 2)) and len(got) == 2 * six.count()
+
+
+def test_cells_of_unlike_flags_are_passed_over(spark, records, monkeypatch):
+    tests = records.filter("pos % 23 = 0")
+    want, looked, plain = told(index.most_similar(records, tests, 3)), [], index._bounds_from
+    found = index.index_of(records)
+    held = found.cells.value
+    monkeypatch.setattr(index, "FIRST", 8)
+    monkeypatch.setattr(index, "_bounds_from", lambda same, *a: looked.append(len(same)) or plain(same, *a))
+    flags, cells = held["patterns"][held["pattern"][0]], np.arange(len(held["n"]))
+    same = ((flags * np.repeat(index._weights()[0], 3)) @ held["patterns"].T)[held["pattern"]]
+    index._wanted(same, held["low"][:1], np.zeros(1), held, cells, 1, False)
+    assert max(looked) < len(cells)
+    monkeypatch.setattr(index, "_bounds_from", plain)
+    assert told(index.most_similar(records, tests, 3)) == want
+
+
 def test_bounds_hold():
     draw = np.random.default_rng(1)
     n = len(NUMERIC_FEATURES)
