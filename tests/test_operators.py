@@ -184,6 +184,22 @@ def test_leave_one_out(spark):
         loocv.leave_one_out(df.limit(1))
 
 
+def test_leave_one_out_takes_no_table_of_records_through_the_driver(spark, monkeypatch):
+    plans, plain = [], loocv.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(loocv, "cut", lambda df: plans.append(plan(df)) or plain(df))
+    plans.append(plan(loocv.leave_one_out(frame(spark, records(6)), loocv.Settings(num_examples=2, passes=2))))
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_a_record_is_graded_with_the_first_others(spark):
+    rows = records(5)
+    got = {r.test_pos: [(e["rank"], e.pos, e.features.block_count) for e in r.examples] for r in rt.with_first_examples(frame(spark, rows), 2).collect()}
+    blocks = {r[0]: r[3] for r in rows}
+    want = {p: [(i, q, blocks[q]) for i, q in enumerate([q for q in range(5) if q != p][:2], 1)] for p in range(5)}
+    assert got == want
+
+
 def test_fetch_and_service(spark):
     def get(url, timeout):
         if url.endswith("/1"):
